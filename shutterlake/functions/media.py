@@ -68,7 +68,8 @@ def valid_gps(lat: Column, lon: Column) -> Column:
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a1, o1, a2, o2 = (F.radians(c) for c in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), 2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    # `least` would skip a null distance and return its bound.
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def hamming64(a: Column, b: Column) -> Column:

@@ -45,5 +45,6 @@ def local_session(name: str = "shutterlake", cores: str = "*", partitions: int =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

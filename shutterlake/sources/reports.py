@@ -24,9 +24,17 @@ def write_pairs(pairs: DataFrame, *paths: str) -> None:
         pairs.select("original", "duplicate").write.mode("overwrite").csv(path, header=True)
 
 
+# JSON keeps milliseconds by default; reports keep the full time.
+TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """JSON lines, nested columns kept."""
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("timestampNTZFormat", TIME_FORMAT).json(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("timestampNTZFormat", TIME_FORMAT).json(path)
 
 
 def write_plan(plan: DataFrame, path: str) -> None:
