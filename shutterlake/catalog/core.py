@@ -138,12 +138,12 @@ VIEWS = {
           embedding[4] > 0.2 AS is_pet
         FROM embeddings""",
     "clusters": """
-        SELECT n_nationkey::BIGINT AS id,
-          CASE WHEN n_regionkey = 1 THEN NULL ELSE n_name END AS display_name,
-          'from ' || n_name AS description,
-          CASE WHEN n_regionkey = 0 THEN n_nationkey::BIGINT * 7 END AS primary_id,
-          n_regionkey = 4 AS is_hidden
-        FROM nation""",
+        SELECT c_custkey AS id,
+          CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_name END AS display_name,
+          'from ' || c_mktsegment AS description,
+          CASE WHEN c_acctbal < 0 THEN c_custkey * 7 END AS primary_id,
+          c_mktsegment = 'FURNITURE' AS is_hidden
+        FROM customer""",
     "suggestions": """
         SELECT id + 1000 AS id, id AS face_id, label AS suggested_cluster_id,
           abs(embedding[5]) AS distance,
@@ -316,13 +316,13 @@ def faces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clusters(spark: SparkSession, d: str) -> DataFrame:
-    key, region = F.col("n_nationkey").cast("long"), F.col("n_regionkey")
-    return table(spark, d, "nation").select(
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    return table(spark, d, "customer").select(
         key.alias("id"),
-        F.when(region != 1, F.col("n_name")).alias("display_name"),
-        F.concat(F.lit("from "), "n_name").alias("description"),
-        F.when(region == 0, key * 7).alias("primary_id"),
-        (region == 4).alias("is_hidden"),
+        F.when(segment != "MACHINERY", F.col("c_name")).alias("display_name"),
+        F.concat(F.lit("from "), segment).alias("description"),
+        F.when(F.col("c_acctbal") < 0, key * 7).alias("primary_id"),
+        (segment == "FURNITURE").alias("is_hidden"),
     )
 
 

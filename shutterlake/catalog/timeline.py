@@ -46,11 +46,15 @@ def i8_owner(spark, d):
     )
 
 
-@query("e3_segment_events_windowed", f"SELECT media_id, owner, event_id FROM ({OWNER_EVENTS})")
+@query(
+    "e3_segment_events_time_only",
+    """SELECT media_id, owner, sum(c) OVER (PARTITION BY owner ORDER BY ts, media_id)::BIGINT AS event_id FROM (
+         SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY owner ORDER BY ts, media_id) > INTERVAL 2 HOURS THEN 1 ELSE 0 END AS c FROM {timeline})""",
+)
 def e3(spark, d):
-    return T.segment_events_windowed(timeline(spark, d), "owner").select(
-        "media_id", "owner", "event_id"
-    )
+    unplaced = F.lit(None).cast("struct<lat:double,lon:double>")
+    rows = timeline(spark, d).withColumn("gps", unplaced)
+    return T.segment_events(rows, partition_by="owner").select("media_id", "owner", "event_id")
 
 
 @query(
@@ -59,13 +63,8 @@ def e3(spark, d):
        WINDOW w AS (PARTITION BY owner ORDER BY ts, media_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
 )
 def e4(spark, d):
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("owner").orderBy("ts", "media_id").rowsBetween(W.unboundedPreceding, -1)
-    last = F.last("gps", ignorenulls=True).over(w)
-    return timeline(spark, d).select(
-        "media_id", F.coalesce(last["lat"], F.lit(-1.0)).alias("last_lat")
-    )
+    rows = T.last_known_location(timeline(spark, d), partition_by="owner")
+    return rows.select("media_id", F.coalesce("last_gps.lat", F.lit(-1.0)).alias("last_lat"))
 
 
 SUMMARY = f"""

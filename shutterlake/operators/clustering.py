@@ -13,6 +13,7 @@ from shutterlake.functions import vectors as V
 from shutterlake.operators import neighbors as N
 from shutterlake.operators.graph import connected_components
 from shutterlake.operators.ordering import number_rows
+from shutterlake.operators.skew import skew_join
 from shutterlake.operators.vectors import centroids, cluster_statistics, vector_sum
 from shutterlake.session import materialize
 
@@ -55,7 +56,7 @@ def _copies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _spread(components: DataFrame, members: DataFrame) -> DataFrame:
     """Component of every row from the component of its representative."""
     reps = components.withColumnRenamed("id", "rep")
-    return members.join(reps, "rep").select("id", "component")
+    return skew_join(members, reps, ["rep"]).select("id", "component")
 
 
 def seed_clusters(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shutterlake.functions import media as M
 from shutterlake.functions import paths as P
 from shutterlake.operators.ordering import number_rows
+from shutterlake.operators.skew import skew_join
 from shutterlake.session import materialize
 
 MB = P.MB
@@ -49,9 +50,8 @@ def keep_best(
 ) -> DataFrame:
     """Pair every extra copy with the copy that stays.
 
-    The winner per key is a map-side combined minimum. Only keys with more than
-    one file reach the join, and a hot key is split there by the skew join
-    because no step needs all its rows together.
+    The winner per key is a map-side combined minimum, and only keys with more
+    than one file reach the join. No step needs all rows of a key together.
     """
     keys = [*within, key]
     rows = media.where(F.col(key).isNotNull()).withColumn(
@@ -66,7 +66,7 @@ def keep_best(
         .where(F.col("n_files") > 1)
     )
     return (
-        rows.join(best, keys)
+        skew_join(rows, best, keys)
         .where(F.col("path") != F.col("_keep.path"))
         .select(
             *keys,
@@ -99,7 +99,7 @@ def reconcile(originals: DataFrame, organized: DataFrame) -> DataFrame:
         "original_score", M.quality_score(F.col("resolution"), F.col("size_bytes"))
     )
     original_wins = F.col("original_score") > F.col("organized_score")
-    return scored.join(_one_per_hash(organized), "sha256").select(
+    return skew_join(scored, _one_per_hash(organized), ["sha256"]).select(
         "sha256",
         F.when(original_wins, F.col("path")).otherwise(F.col("organized")).alias("keep"),
         F.when(original_wins, F.col("organized")).otherwise(F.col("path")).alias("delete"),
@@ -114,13 +114,18 @@ def reconcile(originals: DataFrame, organized: DataFrame) -> DataFrame:
 def unique_originals(originals: DataFrame, organized: DataFrame) -> DataFrame:
     """Hashed originals that exist nowhere in the organized tree."""
     have = organized.where(F.col("sha256").isNotNull()).select("sha256").distinct()
-    return originals.where(F.col("sha256").isNotNull()).join(have, "sha256", "left_anti")
+    hashed = originals.where(F.col("sha256").isNotNull())
+    return skew_join(hashed, have, ["sha256"], "left_anti")
 
 
 def match_duplicates(dups: DataFrame, organized: DataFrame) -> DataFrame:
     """Original of every file in the duplicates folder; null when unmatched."""
     found = _one_per_hash(organized).select("sha256", F.col("organized").alias("original"))
-    return dups.select("sha256", F.col("path").alias("duplicate")).join(found, "sha256", "left")
+    files = dups.select("sha256", F.col("path").alias("duplicate"))
+    # A null hash matches nothing and need not take part in the join.
+    unread = files.where(F.col("sha256").isNull()).withColumn("original", F.lit(None).cast("string"))
+    hashed = files.where(F.col("sha256").isNotNull())
+    return skew_join(hashed, found, ["sha256"], "left").unionByName(unread)
 
 
 def match_counts(matched: DataFrame) -> DataFrame:
@@ -160,7 +165,10 @@ def resolve_unknown(
         .withColumn("_dup", F.lit(True))
     )
     name = P.file_name(F.col("path"))
-    files = unknown.join(siblings, ["month_dir", "sha256"], "left").select(
+    keys = ["month_dir", "sha256"]
+    hashed = skew_join(unknown.where(F.col("sha256").isNotNull()), siblings, keys, "left")
+    unread = unknown.where(F.col("sha256").isNull()).withColumn("_dup", F.lit(None).cast("boolean"))
+    files = hashed.unionByName(unread).select(
         F.when(F.col("_dup"), "move_to_duplicates").otherwise("move_to_parent").alias("action"),
         F.col("path").alias("src"),
         F.when(F.col("_dup"), F.concat(F.lit(duplicates_dir + "/"), name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shutterlake.operators.skew import HOT_SHARE, sized_join
 from shutterlake.session import materialize
 
 
@@ -12,31 +13,39 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.where(F.col("u") != F.col("v")).distinct()
 
 
+def _with_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
+    """Join the minimum of each node to its edges; `n` in low is the node's degree."""
+    hot = low.where(F.col("n") > n_edges * HOT_SHARE).select("u")
+    return sized_join(edges, low, ["u"], n_edges, hot=hot)
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component) with the smallest member id as component.
 
     `vertices` has id, `edges` has src and dst. Alternates the two star rounds:
     every node hooks its larger neighbours (large star), then its smaller ones
     (small star), onto the smallest id it sees. Minima are combined map-side and
-    joined back, so a hub with a third of all edges is never gathered in one
-    task; the joins are left to the skew-join rule. Each round is checkpointed.
+    joined back with hot nodes set apart, so a hub with a third of all edges is
+    never gathered in one task. Each round is checkpointed.
     """
     stars = _pairs(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
     stars = materialize(stars)
-    if not stars.isEmpty():
+    n_edges = stars.count()
+    if n_edges:
         for _ in range(max_rounds):
             # Large star: both directions, larger neighbours move to the minimum.
             both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+            low = both.groupBy("u").agg(
+                F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")
+            )
+            up = both.where(F.col("v") > F.col("u"))
             large = _pairs(
-                both.where(F.col("v") > F.col("u"))
-                .join(low, "u")
-                .select(F.col("v").alias("u"), F.col("m").alias("v"))
+                _with_minimum(up, low, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
             )
             # Small star: smaller neighbours and the node itself move to the minimum.
-            low = large.groupBy("u").agg(F.min("v").alias("m"))
+            low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
             small = _pairs(
-                large.join(low, "u")
+                _with_minimum(large, low, n_edges)
                 .select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .unionByName(low.select("u", F.col("m").alias("v")))
             )
@@ -45,7 +54,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
             roots = new.select(F.col("v").alias("u")).distinct()
             unsettled = new.join(roots, "u", "left_semi")
             twice = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-            stars = new
+            stars, n_edges = new, new.count()
             if unsettled.select("u").unionByName(twice).isEmpty():
                 break
         else:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.operators.ordering import number_rows
+from shutterlake.operators.skew import skew_join
 from shutterlake.session import materialize
 
 MTIME_TOLERANCE_S = 1.0
@@ -83,7 +84,7 @@ def mine_triplets(
     ranges = rows.groupBy(label).agg(F.min("_pos").alias("_from"), F.count("*").alias("_n"))
     total = rows.agg(F.count("*").alias("_all")).withColumn("_one", F.lit(1))
     draws = (
-        rows.join(ranges, label)
+        skew_join(rows, ranges, [label])
         .withColumn("_one", F.lit(1))
         .join(F.broadcast(total), "_one")
         .where((F.col("_n") > 1) & (F.col("_n") < F.col("_all")))

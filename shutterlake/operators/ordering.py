@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shutterlake.operators.skew import skew_join
 from shutterlake.session import materialize
 
 SLICE = "_slice"
@@ -79,7 +80,7 @@ def exact_quantile(
     sizes = ranked.groupBy(*group).agg(F.max("_rank").alias("_n"))
     at = (F.col("_n") - 1) * F.lit(q)
     low, frac = F.floor(at), at - F.floor(at)
-    picked = ranked.join(sizes, list(group)).where(
+    picked = skew_join(ranked, sizes, group).where(
         (F.col("_rank") == low + 1) | (F.col("_rank") == F.least(low + 2, F.col("_n")))
     )
     lo = F.max(F.when(F.col("_rank") == low + 1, F.col(value)))

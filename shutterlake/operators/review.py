@@ -14,7 +14,9 @@ from shutterlake.operators import neighbors as N
 from shutterlake.operators.dedup import first_per_group
 from shutterlake.operators.graph import connected_components
 from shutterlake.operators.ordering import exact_quantile, number_rows
+from shutterlake.operators.skew import skew_join
 from shutterlake.operators.vectors import centroids
+from shutterlake.session import materialize
 
 BAND = (0.20, 0.30)
 OUTLIER_MIN_SIZE, OUTLIER_QUANTILE, OUTLIER_MIN_DISTANCE = 5, 0.75, 0.20
@@ -65,13 +67,14 @@ def outlier_suggestions(
         .join(shown, "cluster_id", "left_semi")
         .select(F.col(key).alias("id"), "cluster_id", V.unit(F.col(vector)).alias("_u"))
     )
-    cents = centroids(rows, "cluster_id", "_u", min_size=OUTLIER_MIN_SIZE)
-    dist = rows.join(cents, "cluster_id").select(
+    cents = materialize(centroids(rows, "cluster_id", "_u", min_size=OUTLIER_MIN_SIZE))
+    dist = skew_join(rows, cents, ["cluster_id"]).select(
         "id", "cluster_id", (1 - V.dot(F.col("_u"), F.col("centroid"))).alias("distance")
     )
+    dist = materialize(dist)
     p75 = exact_quantile(dist, ["cluster_id"], "distance", OUTLIER_QUANTILE, "p75", "id")
     out = (
-        dist.join(p75, "cluster_id")
+        skew_join(dist, p75, ["cluster_id"])
         .where((F.col("distance") > F.col("p75")) & (F.col("distance") > min_distance))
         .select(
             F.col("id").alias("face_id"),

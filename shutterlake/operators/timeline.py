@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from shutterlake.functions import media as M
 from shutterlake.operators.dedup import first_per_group
 from shutterlake.operators.ordering import SLICE, attach, sorted_slices
+from shutterlake.operators.skew import skew_join
+from shutterlake.session import materialize
 
 EVENT_GAP_SECONDS = 2 * 3600
 EVENT_GAP_KM = 1.0
@@ -30,25 +33,53 @@ def far_apart(a: Column, b: Column, km: float) -> Column:
     return F.coalesce((a.isNotNull() & b.isNotNull()) & (d > km), F.lit(False))
 
 
-def segment_events_windowed(
+def _slices(df: DataFrame, ts: str, key: str, owner: str | None) -> tuple[DataFrame, str]:
+    """Dated rows in sorted slices, and the owner column (a constant for one timeline)."""
+    base = df.where(F.col(ts).isNotNull())
+    own = owner or "_owner"
+    if owner is None:
+        base = base.withColumn(own, F.lit(0))
+    return sorted_slices(base, [own, ts, key]), own
+
+
+def _carry(cut: DataFrame, own: str, ts: str, gps: str, key: str) -> tuple[DataFrame, WindowSpec]:
+    """Add the last time and place before each slice, for the owner it continues.
+
+    What a slice hands on is the end of its last owner, and what it needs is the
+    state of its first owner: one row per slice each.
+    """
+    order = F.struct(ts, key)
+    ends = cut.groupBy(SLICE, own).agg(
+        F.max(ts).alias("_end"),
+        F.max_by(gps, F.when(F.col(gps).isNotNull(), order)).alias("_gps"),
+    )
+    before = W.partitionBy(own).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    carry = (
+        ends.withColumn("_prev_end", F.last("_end").over(before))
+        .withColumn("_prev_gps", F.last("_gps", ignorenulls=True).over(before))
+        .where(F.col("_prev_end").isNotNull())
+        .select(SLICE, own, "_prev_end", "_prev_gps")
+    )
+    return attach(cut, carry, [SLICE, own]), before
+
+
+def _last_gps(in_slice: WindowSpec, gps: str) -> Column:
+    earlier = in_slice.rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.last(gps, ignorenulls=True).over(earlier), F.col("_prev_gps"))
+
+
+def last_known_location(
     df: DataFrame,
-    owner: str,
     ts: str = "ts",
     gps: str = "gps",
     key: str = "media_id",
-    gap_seconds: float = EVENT_GAP_SECONDS,
-    km: float = EVENT_GAP_KM,
+    partition_by: str | None = None,
 ) -> DataFrame:
-    """Plain window form, for owners known to be small; adds `event_id` from 0."""
-    w = W.partitionBy(owner).orderBy(ts, key)
-    earlier = w.rowsBetween(W.unboundedPreceding, -1)
-    gap = micros(F.col(ts)) - F.lag(micros(F.col(ts))).over(w)
-    last_gps = F.last(gps, ignorenulls=True).over(earlier)
-    cut = (gap > F.lit(int(gap_seconds * 1_000_000))) | far_apart(last_gps, F.col(gps), km)
-    flagged = df.where(F.col(ts).isNotNull()).withColumn(
-        "_cut", F.coalesce(cut, F.lit(False)).cast("long")
-    )
-    return flagged.withColumn("event_id", F.sum("_cut").over(w)).drop("_cut")
+    """Add `last_gps`, the latest known position before each dated row."""
+    cut, own = _slices(df, ts, key, partition_by)
+    joined, _ = _carry(cut, own, ts, gps, key)
+    in_slice = W.partitionBy(SLICE, own).orderBy(ts, key)
+    return joined.withColumn("last_gps", _last_gps(in_slice, gps)).select(*df.columns, "last_gps")
 
 
 def segment_events(
@@ -67,33 +98,11 @@ def segment_events(
     and the number of events before it, and those are tables of at most two rows
     per slice.
     """
-    owner = [partition_by] if partition_by else ["_owner"]
-    base = df.where(F.col(ts).isNotNull())
-    if not partition_by:
-        base = base.withColumn("_owner", F.lit(0))
-    cut = sorted_slices(base, [*owner, ts, key])
-    own = owner[0]
-
+    cut, own = _slices(df, ts, key, partition_by)
     in_slice = W.partitionBy(SLICE, own).orderBy(ts, key)
-    earlier = in_slice.rowsBetween(W.unboundedPreceding, -1)
-
-    # What a slice hands on: the end of its last owner. What it needs: the state
-    # of its first owner. Both are one row per slice.
-    order = F.struct(ts, key)
-    per_owner = cut.groupBy(SLICE, own).agg(
-        F.max(ts).alias("_end"),
-        F.max_by(gps, F.when(F.col(gps).isNotNull(), order)).alias("_gps"),
-    )
-    before = W.partitionBy(own).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        per_owner.withColumn("_prev_end", F.last("_end").over(before))
-        .withColumn("_prev_gps", F.last("_gps", ignorenulls=True).over(before))
-        .where(F.col("_prev_end").isNotNull())
-        .select(SLICE, own, "_prev_end", "_prev_gps")
-    )
-    joined = attach(cut, carry, [SLICE, own])
+    joined, before = _carry(cut, own, ts, gps, key)
     last_ts = F.coalesce(F.lag(ts).over(in_slice), F.col("_prev_end"))
-    last_gps = F.coalesce(F.last(gps, ignorenulls=True).over(earlier), F.col("_prev_gps"))
+    last_gps = _last_gps(in_slice, gps)
     gap = micros(F.col(ts)) - micros(last_ts)
     is_cut = (gap > F.lit(int(gap_seconds * 1_000_000))) | far_apart(last_gps, F.col(gps), km)
     flagged = joined.withColumn("_cut", F.coalesce(is_cut, F.lit(False)).cast("long")).drop(
@@ -143,12 +152,13 @@ def event_summary(
 def similar_summary(groups: DataFrame, by: str = "group_id", key: str = "media_id") -> DataFrame:
     """Members and earliest date per group, one row per member, leader first.
 
-    Paths stay rows instead of one list per group, since a burst has no size limit.
+    Members stay rows instead of one list per group, since a burst has no size limit.
     """
+    groups = materialize(groups.select(by, key, "ts"))
     sizes = groups.groupBy(by).agg(
         F.count("*").alias("photo_count"), F.min("ts").alias("earliest")
     )
-    return groups.select(by, key).join(sizes, by)
+    return skew_join(groups.select(by, key), sizes, [by])
 
 
 def map_markers(events: DataFrame, key: str = "media_id") -> DataFrame:
