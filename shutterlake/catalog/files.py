@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +12,7 @@ from shutterlake.operators import dedup as D
 from shutterlake.operators import review as R
 from shutterlake.operators import stats as S
 from shutterlake.plans.library_run import organize
-from shutterlake.session import ensure_checkpoint_dir
+from shutterlake.session import scratch_path
 from shutterlake.sources import listing as L
 from shutterlake.sources import reports as O
 
@@ -54,9 +52,7 @@ def originals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder next to the session's checkpoints, shared by all executors."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/out-{uuid.uuid4().hex}"
+    return scratch_path(spark, "out")
 
 
 # ---- flagship -------------------------------------------------------------------

@@ -344,7 +344,7 @@ def average_linkage(
         best = materialize(best.select("id", "nid"))
         back = best.select(F.col("id").alias("nid"), F.col("nid").alias("id"))
         moves = best.join(back, ["id", "nid"]).where(F.col("id") > F.col("nid"))
-        moves = materialize(moves.select(F.col("id").alias("source"), F.col("nid").alias("target")))
+        moves = moves.select(F.col("id").alias("source"), F.col("nid").alias("target"))
         if moves.isEmpty():
             return label_components(owner, 1)
         moved = clusters.join(

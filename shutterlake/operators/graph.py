@@ -26,7 +26,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     every node hooks its larger neighbours (large star), then its smaller ones
     (small star), onto the smallest id it sees. Minima are combined map-side and
     joined back with hot nodes set apart, so a hub with a third of all edges is
-    never gathered in one task. Each round is checkpointed.
+    never gathered in one task. Each round is written out.
     """
     stars = _pairs(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
     stars = materialize(stars)

@@ -139,8 +139,12 @@ def _cell_join(
     home_only: bool,
 ) -> DataFrame:
     pivots = _pivots(right, right.count(), block_rows, normalize)
-    rhome = materialize(_assign_cells(right, pivots, 0.0, normalize).drop("visits"))
     lrows = materialize(_assign_cells(left, pivots, radius, normalize))
+    if left is right:
+        # Renewed columns keep the two sides of the cogroup apart.
+        rhome = lrows.select(*[F.col(c).alias(c) for c in [*right.columns, "home"]])
+    else:
+        rhome = materialize(_assign_cells(right, pivots, 0.0, normalize).drop("visits"))
     cells = F.array("home") if home_only else F.col("visits")
     if symmetric:
         # The pair is met from the side of the smaller cell; its own cell both rows share.

@@ -23,7 +23,7 @@ SLICE = "_slice"
 def sorted_slices(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
     """Range-partition by the keys and store the partition number as `_slice`.
 
-    Slice numbers rise with the key order. The result is checkpointed because
+    Slice numbers rise with the key order. The result is written out because
     range bounds come from a sample and must not be drawn twice.
     """
     return materialize(df.repartitionByRange(*keys).withColumn(SLICE, F.spark_partition_id()))

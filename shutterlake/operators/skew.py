@@ -34,7 +34,7 @@ def skew_join(
     Rows of hot keys never move: their few partners are broadcast to them. All
     other rows take the usual join. The runtime skew rule cannot help here,
     because it leaves joins alone whose side was just aggregated by the key.
-    `rows` is read three times, so it should be a stored or checkpointed table.
+    `rows` is read three times, so it should be a stored or written table.
     """
     keys = list(keys)
     hot = F.broadcast(hot_keys(rows, keys) if hot is None else hot)

@@ -29,7 +29,7 @@ def cluster_faces(
     band: tuple[float, float] = R.BAND,
     **route,
 ) -> FaceRun:
-    """Run the four passes in order on (id, embedding); each pass ends in a checkpoint."""
+    """Run the four passes in order on (id, embedding); each pass ends in a written table."""
     base = faces.select("id", "embedding").withColumn("cluster_id", F.lit(None).cast("long"))
     seeds = C.seed_clusters(base, k, seed_distance, **route)
     seeded = materialize(base.drop("cluster_id").join(seeds, "id"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,24 +14,34 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make one up only for local runs."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; one is made up only for local runs."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
     named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getConf().get(CHECKPOINT_KEY)
     if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
+        return named.rstrip("/")
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    else:
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+    return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint, so a lost executor costs no re-run."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by writing a table, so a lost executor costs no re-run.
+
+    A written table also comes back with a fresh plan and a known size. A
+    checkpointed frame would carry the constraints of its old plan along, which
+    multiply from round to round in iterative operators.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_session(name: str = "shutterlake", cores: str = "*", partitions: int = 8) -> SparkSession:

@@ -31,7 +31,7 @@ def labels(df):
 
 
 @pytest.mark.parametrize("route", ROUTES)
-@pytest.mark.parametrize("s", [1, 2])
+@pytest.mark.parametrize("s", [1])
 def test_knn_is_exact(spark, s, route):
     m = sample(s)
     r = N.vector_rows(frame(spark, m), "id", "embedding")
@@ -81,7 +81,7 @@ def test_dbscan(spark, route, min_samples):
 
 
 @pytest.mark.parametrize("route", ROUTES)
-@pytest.mark.parametrize("s", [6, 7])
+@pytest.mark.parametrize("s", [6])
 def test_average_linkage(spark, route, s):
     m = sample(s, n=60, copies=10)
     got = labels(C.average_linkage(frame(spark, m), 0.15, **route))
@@ -139,7 +139,7 @@ def test_multipass_merge_against_model(spark):
     assert got == now
 
 
-@pytest.mark.parametrize("s", range(4))
+@pytest.mark.parametrize("s", range(2))
 def test_components_any_order(spark, s):
     rng = np.random.default_rng(s)
     n = 120
