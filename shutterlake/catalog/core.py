@@ -117,7 +117,7 @@ VIEWS = {
             ELSE 0::BIGINT END) AS phash
         FROM (
           SELECT doc_id, b, count(*) AS n, sum(count(*)) OVER (PARTITION BY doc_id) AS total
-          FROM (SELECT doc_id, ('0x' || substr(md5(word), 1, 2))::INT % 64 AS b
+          FROM (SELECT doc_id, (length(word) * 7 + ascii(word) * 3 + ascii(right(word, 1))) % 64 AS b
                 FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents))
           GROUP BY doc_id, b)
         GROUP BY doc_id""",
@@ -246,7 +246,7 @@ def signature(spark: SparkSession, d: str) -> DataFrame:
     words = table(spark, d, "documents").select(
         F.col("doc_id").alias("media_id"), F.explode(F.split("text", " ")).alias("w")
     )
-    bucket = F.conv(F.substring(F.md5("w"), 1, 2), 16, 10).cast("int") % 64
+    bucket = (F.length("w") * 7 + F.ascii("w") * 3 + F.ascii(F.right("w", F.lit(1)))) % 64
     counts = words.withColumn("b", bucket).groupBy("media_id").agg(
         *[F.count_if(F.col("b") == i).alias(f"p{i}") for i in range(64)]
     )

@@ -362,6 +362,11 @@ def _free_numbers(todo: DataFrame, taken: DataFrame, style: str) -> DataFrame:
     )
     wanted = todo.select("folder", "name").distinct()
     used = used.where("t is not null").distinct().join(wanted, ["folder", "name"], "left_semi")
+    used = materialize(used)
+    if used.isEmpty():
+        return number_rows(todo, ["folder", "name"], [F.col("src").asc()], "_rn").select(
+            "folder", "name", "src", (F.col("_rn") - 1).alias("number")
+        )
     used = number_rows(used, ["folder", "name"], [F.col("t").asc()], "_i").select(
         "folder",
         "name",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.operators.skew import HOT_SHARE, sized_join
+from shutterlake.operators.skew import sized_join
 from shutterlake.session import materialize
 
 
@@ -14,9 +14,8 @@ def _pairs(df: DataFrame) -> DataFrame:
 
 
 def _with_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
-    """Join the minimum of each node to its edges; `n` in low is the node's degree."""
-    hot = low.where(F.col("n") > n_edges * HOT_SHARE).select("u")
-    return sized_join(edges, low, ["u"], n_edges, hot=hot)
+    """Join the minimum of each node to its edges."""
+    return sized_join(edges, low, ["u"], n_edges)
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -25,7 +24,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
     `vertices` has id, `edges` has src and dst. Alternates the two star rounds:
     every node hooks its larger neighbours (large star), then its smaller ones
     (small star), onto the smallest id it sees. Minima are combined map-side and
-    joined back with hot nodes set apart, so a hub with a third of all edges is
+    joined back by a splittable join, so a hub with a third of all edges is
     never gathered in one task. Each round is written out.
     """
     stars = _pairs(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
@@ -35,27 +34,26 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
         for _ in range(max_rounds):
             # Large star: both directions, larger neighbours move to the minimum.
             both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            low = both.groupBy("u").agg(
-                F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")
-            )
+            low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
             up = both.where(F.col("v") > F.col("u"))
             large = _pairs(
                 _with_minimum(up, low, n_edges).select(F.col("v").alias("u"), F.col("m").alias("v"))
             )
             # Small star: smaller neighbours and the node itself move to the minimum.
-            low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+            low = large.groupBy("u").agg(F.min("v").alias("m"))
             small = _pairs(
                 _with_minimum(large, low, n_edges)
                 .select(F.col("v").alias("u"), F.col("m").alias("v"))
                 .unionByName(low.select("u", F.col("m").alias("v")))
             )
             new = materialize(small)
-            # Stable once every node points at one root and no root points on.
-            roots = new.select(F.col("v").alias("u")).distinct()
-            unsettled = new.join(roots, "u", "left_semi")
-            twice = new.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
             stars, n_edges = new, new.count()
-            if unsettled.select("u").unionByName(twice).isEmpty():
+            # Stable once every node points at one root and no root points on.
+            ends = new.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+                new.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+            )
+            links = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+            if links.where((F.col("out") > 1) | (F.col("out") + F.col("into") > 1)).isEmpty():
                 break
         else:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shutterlake.operators.skew import skew_join
+from shutterlake.operators.skew import hot_keys, split_join
 from shutterlake.session import materialize
 
 SLICE = "_slice"
@@ -77,10 +77,11 @@ def exact_quantile(
     ranked = number_rows(
         df.select(*group, value, tie), group, [F.col(value).asc(), F.col(tie).asc()], "_rank"
     )
-    sizes = ranked.groupBy(*group).agg(F.max("_rank").alias("_n"))
+    ranked = materialize(ranked)
+    sizes = materialize(ranked.groupBy(*group).agg(F.max("_rank").alias("_n")))
     at = (F.col("_n") - 1) * F.lit(q)
     low, frac = F.floor(at), at - F.floor(at)
-    picked = skew_join(ranked, sizes, group).where(
+    picked = split_join(ranked, sizes, group, hot_keys(sizes, group, "_n")).where(
         (F.col("_rank") == low + 1) | (F.col("_rank") == F.least(low + 2, F.col("_n")))
     )
     lo = F.max(F.when(F.col("_rank") == low + 1, F.col(value)))

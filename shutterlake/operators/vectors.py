@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.functions import vectors as V
-from shutterlake.operators.skew import skew_join
+from shutterlake.operators.skew import hot_keys, split_join
 from shutterlake.session import materialize
 
 TIGHT_COHESION = 0.90
@@ -65,10 +65,11 @@ def cluster_statistics(
     n = F.col("size")
     pairs = (F.pow(V.norm(F.col("_s")), 2) - F.col("_n1")) / (n * (n - 1))
     sums = materialize(sums)
+    hot = hot_keys(sums, [by], "size")
     stats = sums.withColumn("cohesion", F.when(n < 2, F.lit(1.0)).otherwise(pairs))
     # Variance of the distances: one more pass against the centroids.
     spread = (
-        skew_join(rows.select(by, "_u"), sums.select(by, "centroid"), [by])
+        split_join(rows.select(by, "_u"), sums.select(by, "centroid"), [by], hot)
         .groupBy(by)
         .agg(
             F.var_pop(

@@ -131,14 +131,19 @@ def test_keep_best_when_one_hash_holds_a_third(spark):
     assert plan.where("sha256 = 'hot'").select("keep").distinct().count() == 1
 
 
-def test_skew_join_equals_join(spark):
+def test_skew_joins_equal_join(spark, monkeypatch):
     rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
     other = spark.range(0, 3000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     other = other.unionByName(spark.createDataFrame([(7, 1)], "k bigint, v bigint"))
+    def rows_of(df):
+        return sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
+
     for how in ("inner", "left", "left_anti", "left_semi"):
-        a = skew.skew_join(rows, other, ["k"], how).toPandas().sort_values("id").reset_index(drop=True)
-        b = rows.join(other, ["k"], how).toPandas().sort_values("id").reset_index(drop=True)
-        assert a[b.columns].equals(b)
+        assert rows_of(skew.skew_join(rows, other, ["k"], how)) == rows_of(rows.join(other, ["k"], how))
+    monkeypatch.setattr(skew, "SMALL", 10)
+    hot = skew.hot_keys(rows.groupBy("k").agg(F.count("*").alias("n")), ["k"], "n")
+    assert [r["k"] for r in hot.collect()] == [7]
+    assert rows_of(skew.split_join(rows, other, ["k"], hot)) == rows_of(rows.join(other, ["k"]))
 
 
 def sequential_names(existing, plan, style):
