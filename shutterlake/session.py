@@ -44,6 +44,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def local_session(name: str = "shutterlake", cores: str = "*", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
     return (
