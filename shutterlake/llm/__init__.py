@@ -11,12 +11,17 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries by name, and the SQL of those that SQL can express."""
-    from shutterlake.llm import quality
+    from shutterlake.llm import line_dedup, ngram_join, pii, quality
 
     queries = {
+        "op2_line_dedup": line_dedup.query,
+        "op4_personal_data": pii.query,
+        "op6_ngram_join": ngram_join.query,
         "op10_quality_rules": quality.query,
     }
     sql = {
+        "op2_line_dedup": line_dedup.SQL,
+        "op6_ngram_join": ngram_join.SQL,
         "op10_quality_rules": quality.SQL,
     }
     return queries, sql
