@@ -11,15 +11,33 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def registry() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries by name, and the SQL of those that SQL can express."""
-    from shutterlake.llm import line_dedup, ngram_join, pii, quality
+    from shutterlake.llm import (
+        bpe,
+        fingerprints,
+        line_dedup,
+        ngram_join,
+        packing,
+        pii,
+        quality,
+        token_counts,
+        token_files,
+        url_filters,
+    )
 
     queries = {
+        "op1_url_filters": url_filters.query,
         "op2_line_dedup": line_dedup.query,
+        "op3_token_counts": token_counts.query,
         "op4_personal_data": pii.query,
+        "op5_fingerprints": fingerprints.query,
         "op6_ngram_join": ngram_join.query,
+        "op7_packing": packing.query,
+        "op8_bpe": bpe.query,
+        "op9_token_files": token_files.query,
         "op10_quality_rules": quality.query,
     }
     sql = {
+        "op1_url_filters": url_filters.SQL,
         "op2_line_dedup": line_dedup.SQL,
         "op6_ngram_join": ngram_join.SQL,
         "op10_quality_rules": quality.SQL,
