@@ -2,27 +2,52 @@
 
 Each stage takes (spark, docs, folder) and returns a DataFrame; it is written as
 Parquet and read again as the docs of the next. All but the last return the
-columns of `documents`.
+columns of their docs; the last returns the pieces of the packed sequences.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shutterlake.llm import quality
+from shutterlake.llm import line_dedup, ngram_join, packing, pii, quality
 from shutterlake.llm.text import table
 from shutterlake.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of earlier documents go; documents stay."""
+    return line_dedup.without_repeated_lines(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each class of near duplicates stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return pii.without_personal_data(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a sequence."""
+    return packing.pack(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("line_dedup", line_deduplication),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("packing", packed_sequences),
 ]
 
-#: Packing tokens has no SQL; tests hold the stages against brute force.
+#: Tokens, MinHash and the random field have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
