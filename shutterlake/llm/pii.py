@@ -51,7 +51,8 @@ _LOCAL = frozenset(LOCAL)
 _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"\S*[0-9@]\S*")
+_MARK = re.compile("[0-9@]")
+_GAP = re.compile(r"\s")
 _ALNUM = re.compile(r"[\W_]+")
 _DIGITS = re.compile(r"[0-9]")
 
@@ -100,6 +101,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _tokens(text: str):
+    """(start, end) of the runs without white space that hold a digit or an @; linear in the text."""
+    done = 0
+    while (m := _MARK.search(text, done)) is not None:
+        a = m.start()
+        while a > done and not text[a - 1].isspace():
+            a -= 1
+        gap = _GAP.search(text, m.end())
+        done = gap.start() if gap else len(text)
+        yield a, done
+
+
 def _bucket(kind: str, value: object) -> int:
     return zlib.crc32(f"{kind}={value}".encode("utf-8", "surrogatepass")) % BUCKETS
 
@@ -152,10 +165,9 @@ class Graph:
     def add(self, text: str, base: list[tuple[int, int, int]]) -> tuple[int, int]:
         """Add a document's tokens; returns the range of its nodes."""
         first, seen, k = len(self.spans), {}, 0
-        tokens = list(_TOKEN.finditer(text))
         open_: list[tuple[int, int, int]] = []
-        for m in tokens:
-            a, b = m.span()
+        for a, b in _tokens(text):
+            token = text[a:b]
             node = len(self.spans)
             while k < len(base) and base[k][0] < b:
                 open_.append(base[k])
@@ -164,16 +176,16 @@ class Graph:
             hits = [kind for start, kind, end in open_ if start < b and end > a]
             before = text[max(0, a - 24) : a].split()
             after = text[b : b + 24].split()
-            self.features.append(_features(m[0], before[-1] if before else "", after[0] if after else ""))
+            self.features.append(_features(token, before[-1] if before else "", after[0] if after else ""))
             self.base.append(min(hits) if hits else -1)
             if node > first and not text[self.spans[-1][1] : a].strip() and a - self.spans[-1][1] <= 3:
                 self.chain.append((node - 1, node))
-            digits = _digits(m[0])
-            keys = [("same", _ALNUM.sub("", m[0]).lower())]
+            digits = _digits(token)
+            keys = [("same", _ALNUM.sub("", token).lower())]
             if len(digits) >= 7:
                 keys.append(("tail", digits[-7:]))
-            if "@" in m[0]:
-                keys.append(("local", m[0].split("@")[0].lower()))
+            if "@" in token:
+                keys.append(("local", token.split("@")[0].lower()))
             for key in keys:
                 if len(key[1]) >= 4:
                     if key in seen and seen[key] != node:
