@@ -92,7 +92,8 @@ class LineRuns:
 
     def owners(self) -> DataFrame:
         """(h1, h2, owner) of all runs as plain files, so that Spark may split any join with them."""
-        return self.spark.read.parquet(*self.paths.values())
+        schema = "h1 long, h2 long, owner long"  # an empty run has no file to tell it
+        return self.spark.read.schema(schema).parquet(*self.paths.values())
 
     def close(self) -> None:
         """Take the names out of the catalog; the files stay for what still reads them."""
