@@ -89,7 +89,7 @@ def c8(spark, d):
 @query(
     "j1_accept",
     """SELECT f.id, coalesce(a.suggested_cluster_id, f.cluster_id, -1) AS cluster_id FROM {faces} f LEFT JOIN
-         (SELECT s.face_id, s.suggested_cluster_id FROM {latest} l JOIN {suggestions} s ON s.id = l.suggestion_id WHERE l.action = 'accept') a
+         (SELECT s.face_id, arg_max(s.suggested_cluster_id, l.reviewed_at) AS suggested_cluster_id FROM {decisions} l JOIN {suggestions} s ON s.id = l.suggestion_id WHERE l.action = 'accept' GROUP BY s.face_id) a
          ON a.face_id = f.id""",
 )
 def j1(spark, d):
@@ -113,7 +113,8 @@ def j3(spark, d):
     "j2_reject_into_new_cluster",
     """SELECT f.id, coalesce(n.new_id, f.cluster_id, -1) AS cluster_id FROM {faces} f LEFT JOIN (
          SELECT id, (SELECT max(id) FROM {clusters}) + row_number() OVER (ORDER BY id) AS new_id FROM {faces} WHERE cluster_id IS NULL AND id IN (
-           SELECT s.face_id FROM {latest} l JOIN {suggestions} s ON s.id = l.suggestion_id WHERE l.action = 'reject' AND l.create_new)) n ON n.id = f.id""",
+           SELECT s.face_id FROM {decisions} l JOIN {suggestions} s ON s.id = l.suggestion_id WHERE l.action = 'reject' AND l.create_new
+             AND NOT EXISTS (SELECT 1 FROM {decisions} e WHERE e.suggestion_id = l.suggestion_id AND e.action = 'accept' AND e.reviewed_at <= l.reviewed_at))) n ON n.id = f.id""",
 )
 def j2(spark, d):
     moved, _ = R.reject_into_new_clusters(
@@ -220,17 +221,30 @@ def merged(spark, d):
 
 @query(
     "b12_j6_update_fields",
-    """SELECT id, CASE WHEN s_name IS NOT NULL THEN 'renamed ' || s_name ELSE display_name END AS display_name, description, is_hidden
+    """SELECT id, CASE WHEN s_suppkey % 4 = 0 THEN 'again ' || s_name WHEN s_name IS NOT NULL THEN 'renamed ' || s_name ELSE display_name END AS display_name,
+         CASE WHEN s_suppkey % 2 = 0 THEN 'about ' || s_name ELSE description END AS description, is_hidden
        FROM {clusters} LEFT JOIN supplier ON s_suppkey * 3 = id""",
 )
 def j6(spark, d):
-    changes = table(spark, d, "supplier").select(
-        (F.col("s_suppkey") * 3).cast("long").alias("id"),
+    rows = table(spark, d, "supplier")
+    key = (F.col("s_suppkey") * 3).cast("long").alias("id")
+    first = rows.select(
+        key,
         F.concat(F.lit("renamed "), "s_name").alias("display_name"),
+        F.lit(None).cast("string").alias("description"),
         F.lit(1).cast("long").alias("primary_id"),
         F.lit(None).cast("boolean").alias("is_hidden"),
+        F.lit(1).alias("at"),
     )
-    out = R.update_fields(clusters(spark, d), changes)
+    second = rows.where(F.col("s_suppkey") % 2 == 0).select(
+        key,
+        F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("again "), "s_name")).alias("display_name"),
+        F.concat(F.lit("about "), "s_name").alias("description"),
+        F.lit(2).cast("long").alias("primary_id"),
+        F.lit(None).cast("boolean").alias("is_hidden"),
+        F.lit(2).alias("at"),
+    )
+    out = R.update_fields(clusters(spark, d), first.unionByName(second), time="at")
     return out.select("id", "display_name", "description", "is_hidden")
 
 

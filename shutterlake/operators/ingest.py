@@ -33,9 +33,18 @@ def changed(listing: DataFrame, media: DataFrame, tolerance_s: float = MTIME_TOL
     ).where(F.col("reason").isNotNull())
 
 
-def upsert(media: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
-    """New rows replace those with the same key."""
-    return media.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(
+    media: DataFrame, new: DataFrame, key: str = "path", order: str | None = None
+) -> DataFrame:
+    """New rows replace those with the same key.
+
+    Of several new rows of one key the last by `order` stays, without it, or at
+    the same place, the greatest row.
+    """
+    rest = [c for c in new.columns if c not in (key, order)]
+    rank = F.struct(*([order] if order else []), *rest)
+    one = new.groupBy(key).agg(F.max(rank).alias("_row")).select(key, "_row.*")
+    return media.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def replace_children(

@@ -29,7 +29,7 @@ PERSON_FIELDS = ("display_name", "description", "is_hidden")
 def boundary_suggestions(
     faces: DataFrame,
     band: tuple[float, float] = BAND,
-    limit: int | None = 100,
+    limit: int | None = None,
     key: str = "id",
     vector: str = "embedding",
     **route,
@@ -52,7 +52,7 @@ def boundary_suggestions(
 def outlier_suggestions(
     faces: DataFrame,
     clusters: DataFrame,
-    limit: int | None = 100,
+    limit: int | None = None,
     key: str = "id",
     vector: str = "embedding",
     min_distance: float = OUTLIER_MIN_DISTANCE,
@@ -90,9 +90,11 @@ def outlier_suggestions(
 
 
 def new_suggestions(
-    faces: DataFrame, clusters: DataFrame, max_suggestions: int = 100, **options
+    faces: DataFrame, clusters: DataFrame, max_suggestions: int | None = None, **options
 ) -> DataFrame:
-    """Boundary cases first; outliers fill what is left of the cap."""
+    """Boundary cases and outliers; under a cap boundary cases come first and outliers fill the rest."""
+    if max_suggestions is None:
+        return boundary_suggestions(faces, **options).unionByName(outlier_suggestions(faces, clusters))
     first = boundary_suggestions(faces, limit=max_suggestions, **options)
     # At most max_suggestions rows: safe to count and rank in one place.
     room = F.lit(max_suggestions) - first.agg(F.count("*")).scalar()
@@ -269,8 +271,11 @@ def decide_suggestions(suggestions: DataFrame, decisions: DataFrame) -> DataFram
 def accept_suggestions(
     faces: DataFrame, suggestions: DataFrame, decisions: DataFrame
 ) -> DataFrame:
-    """Faces moved to the cluster of their latest accepted suggestion."""
-    accepted = latest_decisions(decisions, "suggestion_id").where(F.col("action") == "accept")
+    """Faces moved to the cluster of their latest accepted suggestion.
+
+    An accept moves the face at once; a later skip or reject does not move it back.
+    """
+    accepted = decisions.where(F.col("action") == "accept")
     moves = (
         accepted.join(suggestions, F.col("suggestion_id") == suggestions["id"])
         .groupBy("face_id")
@@ -308,21 +313,29 @@ def new_cluster_ids(clusters: DataFrame, wanted: DataFrame, key: str) -> DataFra
 def reject_into_new_clusters(
     faces: DataFrame, clusters: DataFrame, suggestions: DataFrame, decisions: DataFrame
 ) -> tuple[DataFrame, DataFrame]:
-    """(faces, new clusters): a rejection may open a cluster, but only for a noise face."""
-    rejected = latest_decisions(decisions, "suggestion_id").where(
-        (F.col("action") == "reject") & F.col("create_new")
-    )
+    """(faces, new clusters): a rejection may open an unnamed cluster, but only for a noise face.
+
+    The first such rejection of a face counts, and only if no accept came before,
+    which would have moved the face. Apply accepts to the result: a later one
+    moves the face on.
+    """
+    opens = (F.col("action") == "reject") & F.col("create_new")
     wanted = (
-        rejected.join(suggestions, F.col("suggestion_id") == suggestions["id"])
-        .select(F.col("face_id").alias("id"))
-        .distinct()
+        decisions.join(suggestions, F.col("suggestion_id") == suggestions["id"])
+        .groupBy(F.col("face_id").alias("id"))
+        .agg(
+            F.min(F.when(opens, decisions["reviewed_at"])).alias("_open"),
+            F.min(F.when(F.col("action") == "accept", decisions["reviewed_at"])).alias("_accept"),
+        )
+        .where(F.col("_open").isNotNull() & (F.col("_accept").isNull() | (F.col("_open") < F.col("_accept"))))
+        .select("id")
         .join(faces.where(F.col("cluster_id").isNull()), "id", "left_semi")
     )
     ids = new_cluster_ids(clusters, wanted, "id")
     moved = _move(faces, ids.select("id", F.col("new_id").alias("_to")))
     made = ids.select(
         F.col("new_id").alias("id"),
-        F.concat(F.lit("Person "), F.col("new_id").cast("string")).alias("display_name"),
+        F.lit(None).cast("string").alias("display_name"),
     )
     return moved, made
 
@@ -373,7 +386,7 @@ def resolve_merges(requests: DataFrame, clusters: DataFrame) -> tuple[DataFrame,
         )
     )
     mapping = (
-        comp.join(keep, "component")
+        skew_join(comp, keep, ["component"])
         .where(F.col("id") != F.col("target"))
         .select(F.col("id").alias("source"), "target")
     )
@@ -405,11 +418,23 @@ def merge_with_audit(
 
 
 def update_fields(
-    clusters: DataFrame, changes: DataFrame, allowed: Iterable[str] = PERSON_FIELDS
+    clusters: DataFrame,
+    changes: DataFrame,
+    allowed: Iterable[str] = PERSON_FIELDS,
+    time: str | None = None,
 ) -> DataFrame:
-    """Apply change rows (id, field columns); only allowed fields count, null leaves a field alone."""
+    """Apply change rows (id, field columns); only allowed fields count, null leaves a field alone.
+
+    Of several changes of one field the last by the `time` column counts, without
+    one, or at the same time, the greatest value.
+    """
     fields = [c for c in changes.columns if c in set(allowed)]
-    new = changes.select("id", *[F.col(c).alias(f"_new_{c}") for c in fields])
+    when = [F.col(time)] if time else []
+
+    def last(c: str) -> Column:
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(*when, F.col(c).alias("value"))))["value"]
+
+    new = changes.groupBy("id").agg(*[last(c).alias(f"_new_{c}") for c in fields])
     return clusters.join(new, "id", "left").select(
         *[F.coalesce(f"_new_{c}", c).alias(c) if c in fields else c for c in clusters.columns]
     )
