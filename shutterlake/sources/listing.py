@@ -1,9 +1,12 @@
-"""File listings: metadata only, the content column is never read."""
+"""File listings: metadata only; content is read only to be hashed, in chunks."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import hashlib
+from collections.abc import Iterable, Iterator
+from urllib.parse import unquote, urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ INDEX_EXTENSIONS = (
 )
 LABELLED_EXTENSIONS = (".jpg", ".jpeg", ".png")
 
+CHUNK_BYTES = 64 * 1024
+
 
 def file_listing(spark: SparkSession, root: str) -> DataFrame:
     """Every file below root as path, length and modificationTime."""
@@ -102,16 +107,34 @@ def labelled(listing: DataFrame) -> DataFrame:
     )
 
 
-def hashed_content(spark: SparkSession, root: str, max_bytes: int = 2**31 - 1) -> DataFrame:
-    """Listing plus SHA-256; files too large for one row keep a null hash.
+def _sha256(path: str, chunk: int) -> str:
+    """Read a file in chunks through the file system that its scheme names."""
+    digest = hashlib.sha256()
+    if path.startswith(("file:", "/")):
+        source = open(unquote(urlparse(path).path), "rb")  # noqa: SIM115
+    else:
+        from pyarrow import fs
+
+        system, inside = fs.FileSystem.from_uri(path)
+        source = system.open_input_stream(inside)
+    with source:
+        while block := source.read(chunk):
+            digest.update(block)
+    return digest.hexdigest()
+
+
+def hashed_content(spark: SparkSession, root: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Listing plus SHA-256, for files of any size.
 
-    The size test is a scan filter, so oversized content is never loaded.
+    Only paths are listed; executors read each file in chunks, so neither a row
+    nor a task ever holds a whole file. Files are dealt out evenly first, since a
+    listing says nothing about how long a file takes.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    small = files.where(F.col("length") <= max_bytes).select(
-        "path", "length", "modificationTime", F.sha2("content", 256).alias("sha256")
-    )
-    large = files.where(F.col("length") > max_bytes).select(
-        "path", "length", "modificationTime", F.lit(None).cast("string").alias("sha256")
-    )
-    return small.unionByName(large)
+    files = file_listing(spark, root)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(sha256=[_sha256(p, chunk_bytes) for p in batch["path"]])
+
+    dealt = files.repartition("path")
+    return dealt.mapInPandas(run, "path string, length bigint, modificationTime timestamp, sha256 string")
