@@ -163,7 +163,7 @@ def c6(spark, d):
 @query(
     "d31_coordinates_to_resolve",
     f"""SELECT DISTINCT key FROM ({KEYED}) WHERE key <> '' AND key NOT IN (SELECT key FROM {{place_cache}})
-        ORDER BY key LIMIT 250""",
+        """,
 )
 def d31(spark, d):
     return T.coordinates_to_resolve(timeline(spark, d), place_cache(spark, d))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,7 +17,7 @@ from shutterlake.operators.graph import connected_components
 from shutterlake.operators.ordering import number_rows
 from shutterlake.operators.skew import skew_join
 from shutterlake.operators.vectors import centroids, cluster_statistics, vector_sum
-from shutterlake.session import materialize
+from shutterlake.session import materialize, release
 
 NOISE = -1
 
@@ -152,7 +154,7 @@ def merge_map(
     else:
         keep = comp.groupBy("component").agg(F.min("id").alias("target"))
     return (
-        comp.join(keep, "component")
+        skew_join(comp, keep, ["component"])
         .where(F.col("id") != F.col("target"))
         .select(F.col("id").alias("source"), "target")
     )
@@ -215,16 +217,17 @@ def merge_multipass(
     tight: float = 0.90,
     tight_slack: float = 0.05,
     cap: int = 100,
-    passes: int = 10,
+    passes: int | None = None,
     vector: str = "embedding",
     **route,
 ) -> DataFrame:
     """Repeat the capped merge with fresh statistics; tight clusters get some slack.
 
-    Ends when a pass finds no pair. Returns the rows with their final cluster.
+    Ends when a pass finds no pair, or after `passes` if that is given; each pass
+    removes a cluster, so it does end. Returns the rows with their final cluster.
     """
     rows = materialize(df)
-    for _ in range(passes):
+    for _ in itertools.count() if passes is None else range(passes):
         stats = cluster_statistics(rows, "cluster_id", vector).withColumn(
             "firm", (F.col("cohesion") >= tight) & (F.col("size") >= 2)
         )
@@ -315,7 +318,6 @@ def average_linkage(
     max_distance: float = 0.20,
     key: str = "id",
     vector: str = "embedding",
-    max_rounds: int = 500,
     **route,
 ) -> DataFrame:
     """(id, cluster_id) of average-linkage clustering on cosine distance, cut at a height.
@@ -323,7 +325,8 @@ def average_linkage(
     The average distance of two clusters is one minus the product of their mean
     unit vectors, so a cluster is carried as (sum, count) and no pair list
     exists. Average linkage is reducible: all reciprocal nearest neighbours
-    below the cut may merge at once. Rounds end when none is left.
+    below the cut may merge at once. Rounds end when none is left; each removes
+    a cluster. Tables of earlier rounds are deleted.
     """
     rows = N.vector_rows(df, key, vector).select("id", V.unit(F.col("vec")).alias("vec"))
     distinct, members = _copies(rows)
@@ -334,7 +337,7 @@ def average_linkage(
     )
     clusters = materialize(clusters)
     owner = materialize(members.select("id", F.col("rep").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         means = clusters.select(
             "id", F.transform("total", lambda x: x / F.col("size")).alias("vec")
         )
@@ -350,18 +353,19 @@ def average_linkage(
         moved = clusters.join(
             moves.select(F.col("source").alias("id"), "target"), "id", "left"
         ).withColumn("id", F.coalesce("target", "id"))
-        clusters = materialize(
+        merged = materialize(
             moved.groupBy("id").agg(
                 vector_sum(F.col("total")).alias("total"), F.sum("size").alias("size")
             )
         )
         to = moves.select(F.col("source").alias("component"), "target")
-        owner = materialize(
+        moved_to = materialize(
             owner.join(to, "component", "left").select(
                 "id", F.coalesce("target", "component").alias("component")
             )
         )
-    raise RuntimeError(f"linkage did not settle in {max_rounds} rounds")
+        release(clusters, owner, best)
+        clusters, owner = merged, moved_to
 
 
 def bisecting(

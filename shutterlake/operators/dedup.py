@@ -391,19 +391,19 @@ def _free_numbers(todo: DataFrame, taken: DataFrame, style: str) -> DataFrame:
 
 
 def number_collisions(
-    plan: DataFrame, existing: DataFrame, style: str = "plain", rounds: int = 20
+    plan: DataFrame, existing: DataFrame, style: str = "plain"
 ) -> DataFrame:
     """Give every planned file (folder, name, src) a free name in its folder.
 
     Files of one name take free suffixes in `src` order. Two different names can
     still meet in one target (`a_1.jpg` and the copy of `a.jpg`); the bare name
-    wins and the other goes into the next round. The loop ends when a round
-    places everything and raises rather than return a clash.
+    wins and the other goes into the next round. Every round places at least one
+    file of each contested target, so the loop ends with all placed.
     """
     taken = existing.select("folder", "name").distinct()
     todo = plan.select("folder", "name", "src")
     placed = None
-    for _ in range(rounds):
+    while True:
         tried = _free_numbers(todo, taken, style).withColumn(
             "target", P.suffixed_name(F.col("name"), F.col("number"), style)
         )
@@ -420,7 +420,6 @@ def number_collisions(
         if todo.isEmpty():
             return placed
         taken = taken.unionByName(done.select("folder", F.col("target").alias("name"))).distinct()
-    raise RuntimeError(f"names still collide after {rounds} rounds")
 
 
 def hash_distance_counts(

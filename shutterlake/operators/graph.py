@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.operators.skew import sized_join
-from shutterlake.session import materialize
+from shutterlake.session import materialize, release
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -18,20 +18,21 @@ def _with_minimum(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
     return sized_join(edges, low, ["u"], n_edges)
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) with the smallest member id as component.
 
     `vertices` has id, `edges` has src and dst. Alternates the two star rounds:
     every node hooks its larger neighbours (large star), then its smaller ones
     (small star), onto the smallest id it sees. Minima are combined map-side and
     joined back by a splittable join, so a hub with a third of all edges is
-    never gathered in one task. Each round is written out.
+    never gathered in one task. Each round is written out and the one before
+    deleted. A round that changes nothing leaves stars, so the loop ends.
     """
     stars = _pairs(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")))
     stars = materialize(stars)
     n_edges = stars.count()
     if n_edges:
-        for _ in range(max_rounds):
+        while True:
             # Large star: both directions, larger neighbours move to the minimum.
             both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
             low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -47,6 +48,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
                 .unionByName(low.select("u", F.col("m").alias("v")))
             )
             new = materialize(small)
+            release(stars)
             stars, n_edges = new, new.count()
             # Stable once every node points at one root and no root points on.
             ends = new.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
@@ -55,8 +57,6 @@ def connected_components(vertices: DataFrame, edges: DataFrame, max_rounds: int
             links = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
             if links.where((F.col("out") > 1) | (F.col("out") + F.col("into") > 1)).isEmpty():
                 break
-        else:
-            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     found = stars.select(F.col("u").alias("id"), F.col("v").alias("_root"))
     return vertices.select("id").join(found, "id", "left").select(
         "id", F.coalesce("_root", "id").alias("component")

@@ -11,7 +11,7 @@ from shutterlake.operators import kernels
 from shutterlake.operators import neighbors as N
 from shutterlake.operators.dedup import first_per_group
 from shutterlake.operators.vectors import centroids
-from shutterlake.session import BROADCAST_BYTES
+from shutterlake.session import BROADCAST_BYTES, materialize
 
 GALLERY_MIN_SIMILARITY = 0.60
 UNKNOWN = "unknown"
@@ -116,7 +116,7 @@ def cluster_candidates(
     return (
         near.withColumnRenamed("nid", "cluster_id")
         .join(names, "cluster_id", "left")
-        .join(samples, "cluster_id", "left")
+        .join(materialize(samples), "cluster_id", "left")
         .select(
             F.col("id").alias("face_id"),
             "rank",

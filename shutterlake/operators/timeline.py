@@ -19,7 +19,6 @@ EVENT_GAP_SECONDS = 2 * 3600
 EVENT_GAP_KM = 1.0
 MAP_DEFAULT_CENTER = (40.0, -74.0)
 MARKER_MAX_RADIUS = 20
-GEOCODE_LIMIT = 250
 
 
 def micros(ts: Column) -> Column:
@@ -192,11 +191,12 @@ def attach_location(df: DataFrame, cache: DataFrame) -> DataFrame:
     return df.withColumn("_key", key).join(found, "_key", "left").drop("_key")
 
 
-def coordinates_to_resolve(df: DataFrame, cache: DataFrame, limit: int = GEOCODE_LIMIT) -> DataFrame:
-    """Distinct rounded positions the cache does not know, capped per run."""
+def coordinates_to_resolve(df: DataFrame, cache: DataFrame, limit: int | None = None) -> DataFrame:
+    """Distinct rounded positions the cache does not know; a run may cap them, the first by key."""
     keys = (
         df.where(F.col("gps").isNotNull())
         .select(M.location_key(F.col("gps.lat"), F.col("gps.lon")).alias("key"))
         .distinct()
     )
-    return keys.join(cache.select("key"), "key", "left_anti").orderBy("key").limit(limit)
+    keys = keys.join(cache.select("key"), "key", "left_anti")
+    return keys if limit is None else keys.orderBy("key").limit(limit)

@@ -25,14 +25,17 @@ def cluster_faces(
     seed_distance: float = 0.315,
     assign_distance: float = 0.5,
     merge_distance: float = 0.35,
-    max_suggestions: int = 100,
+    max_suggestions: int | None = None,
     band: tuple[float, float] = R.BAND,
     **route,
 ) -> FaceRun:
-    """Run the four passes in order on (id, embedding); each pass ends in a written table."""
+    """Run the four passes in order on (id, embedding); each pass ends in a written table.
+
+    Faces without a usable vector are in no pass and stay noise.
+    """
     base = faces.select("id", "embedding").withColumn("cluster_id", F.lit(None).cast("long"))
     seeds = C.seed_clusters(base, k, seed_distance, **route)
-    seeded = materialize(base.drop("cluster_id").join(seeds, "id"))
+    seeded = materialize(base.drop("cluster_id").join(seeds, "id", "left"))
     assigned = materialize(C.assign_noise(seeded, assign_distance, **route))
     merged, mapping = C.merge_clusters(assigned, max_distance=merge_distance, **route)
     merged = materialize(merged)

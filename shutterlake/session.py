@@ -41,7 +41,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables from `materialize` that no frame still to be run reads."""
+    for t in tables:
+        if path := getattr(t, "_written_to", None):
+            discard(t.sparkSession, path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
