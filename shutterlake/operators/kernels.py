@@ -6,6 +6,9 @@ module is pickled by value, so executors need not have the package installed.
 
 from __future__ import annotations
 
+import hashlib
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 import pyarrow as pa
 
@@ -216,3 +219,22 @@ def lead(pdf, state, window_us, km):
 
 def nullable(x):
     return None if x is None or np.isnan(x) else float(x)
+
+
+# ---- files ------------------------------------------------------------------------
+
+
+def file_sha256(path: str, chunk: int) -> str:
+    """Read a file in chunks through the file system that its scheme names."""
+    digest = hashlib.sha256()
+    if path.startswith(("file:", "/")):
+        source = open(unquote(urlparse(path).path), "rb")  # noqa: SIM115
+    else:
+        from pyarrow import fs
+
+        system, inside = fs.FileSystem.from_uri(path)
+        source = system.open_input_stream(inside)
+    with source:
+        while block := source.read(chunk):
+            digest.update(block)
+    return digest.hexdigest()

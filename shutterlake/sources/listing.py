@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
-from urllib.parse import unquote, urlparse
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions import paths as P
+from shutterlake.operators import kernels
 
 # Extensions of the image-only index scan and of labelled folders.
 INDEX_EXTENSIONS = (
@@ -107,22 +106,6 @@ def labelled(listing: DataFrame) -> DataFrame:
     )
 
 
-def _sha256(path: str, chunk: int) -> str:
-    """Read a file in chunks through the file system that its scheme names."""
-    digest = hashlib.sha256()
-    if path.startswith(("file:", "/")):
-        source = open(unquote(urlparse(path).path), "rb")  # noqa: SIM115
-    else:
-        from pyarrow import fs
-
-        system, inside = fs.FileSystem.from_uri(path)
-        source = system.open_input_stream(inside)
-    with source:
-        while block := source.read(chunk):
-            digest.update(block)
-    return digest.hexdigest()
-
-
 def hashed_content(spark: SparkSession, root: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Listing plus SHA-256, for files of any size.
 
@@ -134,7 +117,7 @@ def hashed_content(spark: SparkSession, root: str, chunk_bytes: int = CHUNK_BYTE
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(sha256=[_sha256(p, chunk_bytes) for p in batch["path"]])
+            yield batch.assign(sha256=[kernels.file_sha256(p, chunk_bytes) for p in batch["path"]])
 
     dealt = files.repartition("path")
     return dealt.mapInPandas(run, "path string, length bigint, modificationTime timestamp, sha256 string")
