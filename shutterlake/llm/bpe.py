@@ -22,6 +22,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import NO_SPACE, WHITE, Chunks, packed, text_slices, vocabulary
 from shutterlake.llm.text import table, whole
+from shutterlake.llm.worker import held
 
 VOCABULARY = "word_bpe_49k.json"
 NEVER = 1 << 40
@@ -192,21 +194,14 @@ class Bpe:
         return " ".join([self.names[i] for i in ids])
 
 
-_held: dict[int, tuple[Bpe, Chunks]] = {}
-
-
 def _tables(spec: bytes) -> tuple[Bpe, Chunks]:
-    """Kept between the tasks of one worker process. A chunk maps to (packed ids, decoded bytes)."""
-    key = hash(spec)
-    if key not in _held:
-        bpe = Bpe(spec)
+    """The tables, and the known chunks: each maps to (packed ids, decoded bytes)."""
 
-        def both(new: list[str]) -> list[tuple[bytes, bytes]]:
-            return [(packed(x), bpe.decode(x).encode()) for x in bpe.chunks(new)]
+    def make() -> tuple[Bpe, Chunks]:
+        bpe = Bpe(spec)
+        return bpe, Chunks(NO_SPACE, lambda new: [(packed(x), bpe.decode(x).encode()) for x in bpe.chunks(new)])
 
-        _held.clear()
-        _held[key] = bpe, Chunks(NO_SPACE, both)
-    return _held[key]
+    return held("bpe", (zlib.crc32(spec), len(spec)), make)
 
 
 def _encode(spec):

@@ -15,12 +15,15 @@ from __future__ import annotations
 import os
 import re
 import sys
+import zlib
 from array import array
 from collections.abc import Callable, Iterable
 
 import public_tokenizers
 from pyspark.sql import SparkSession
 
+from shutterlake.llm.worker import held
+
 MEMO = 250_000
 
 #: Unicode's white space, as the inside of a character class.
@@ -83,29 +86,25 @@ def packed(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-_held: dict[tuple[int, bool], Chunks] = {}
-
-
 def library_chunks(spec: bytes, keep_space: bool) -> Chunks:
     """Ids by the tokenizers library, special strings handled as its default.
 
-    `keep_space` tells that white space is part of the tokens. Kept between the
-    tasks of one worker process.
+    `keep_space` tells that white space is part of the tokens.
     """
-    key = (hash(spec), keep_space)
-    if key not in _held:
+
+    def make() -> Chunks:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(spec.decode())
         t.no_padding()
         t.no_truncation()
-        _held.clear()
-        _held[key] = Chunks(
+        return Chunks(
             WITH_SPACE if keep_space else NO_SPACE,
             lambda new: [packed(e.ids) for e in t.encode_batch_fast(new, add_special_tokens=False)],
         )
-    return _held[key]
+
+    return held("library", (zlib.crc32(spec), len(spec), keep_space), make)
 
 
 def text_slices(texts: list[str], most: int = 4_000_000):

@@ -18,6 +18,7 @@ rows are counted each.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.chunks import text_slices, vocabulary
 from shutterlake.llm.text import table, whole
+from shutterlake.llm.worker import held
 from shutterlake.session import materialize
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -36,22 +38,19 @@ HOT = 300_000
 SPACE = chr(0x2581)
 PRE_TOKEN = re.compile(f"[ {SPACE}]+[^ {SPACE}\n]*|\n[^ {SPACE}\n]*")
 
-_held: dict[int, object] = {}
-
-
 def _model(proto: bytes):
-    """The library's model, kept between the tasks of one worker process."""
-    key = hash(proto)
-    if key not in _held:
+    """The library's model."""
+
+    def make():
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_proto=proto)
         pieces = [m.id_to_piece(i) for i in range(m.get_piece_size())]
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in pieces):
             raise ValueError("this vocabulary has pieces across pre-tokens")
-        _held.clear()
-        _held[key] = m
-    return _held[key]
+        return m
+
+    return held("pieces", (zlib.crc32(proto), len(proto)), make)
 
 
 def pre_tokens(text: str) -> list[str]:
