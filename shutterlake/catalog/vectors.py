@@ -419,7 +419,29 @@ def i10_euclidean(spark, d):
     return C.dbscan(faces(spark, d), 1.1, metric="euclidean")
 
 
-@query("i11_density_cluster")
+def mean_sql(labels: str, least: int = 1) -> str:
+    """Mean vector and size of each cluster of a table of (id, cluster_id)."""
+    return f"""(SELECT cluster_id, max(n) AS size, list(x ORDER BY i) AS c FROM (
+        SELECT l.cluster_id, d.i, avg(d.x) AS x, count(*) AS n FROM {labels} l JOIN {{dims}} d ON d.id = l.id
+        WHERE l.cluster_id IS NOT NULL GROUP BY l.cluster_id, d.i) GROUP BY cluster_id HAVING max(n) >= {least})"""
+
+
+def nearest_sql(labels: str, means: str, cut: str) -> str:
+    """Rows without a cluster go to the nearest mean under the cut on s, the cosine."""
+    return f"""(SELECT l.id, coalesce(l.cluster_id, n.cluster_id) AS cluster_id FROM {labels} l LEFT JOIN (
+        SELECT f.id, m.cluster_id, list_cosine_similarity(f.embedding, m.c) AS s,
+          row_number() OVER (PARTITION BY f.id ORDER BY list_cosine_similarity(f.embedding, m.c) DESC, m.cluster_id) AS rn
+        FROM {{faces}} f JOIN {labels} o ON o.id = f.id AND o.cluster_id IS NULL, {means} m) n ON n.id = l.id AND n.rn = 1 AND {cut})"""
+
+
+@query(
+    "i11_density_cluster",
+    components_sql(LINKS, "{unit}")
+    + ", lab AS (SELECT id, cluster_id FROM comp LEFT JOIN dense USING (component)), means AS MATERIALIZED "
+    + mean_sql("lab")
+    + " SELECT id, coalesce(cluster_id, -1) AS cluster_id FROM "
+    + nearest_sql("lab", "means", "1 - n.s < 0.5"),
+)
 def i11(spark, d):
     return C.density_cluster(faces(spark, d), LINK, 0.5)
 
@@ -476,20 +498,57 @@ def i7b(spark, d):
     return C.merge_multipass(rows_, 0.15, tight=0.05, cap=120).select("id", "cluster_id")
 
 
-@query("i17_full_clustering")
+# The passes of the run one after the other: seeds, assignment, merge.
+FULL = (
+    components_sql(KNN_LINKS, "{unit}")
+    + ", lab AS MATERIALIZED (SELECT id, cluster_id FROM comp LEFT JOIN dense USING (component)), m1 AS MATERIALIZED "
+    + mean_sql("lab", 3)
+    + ", placed AS MATERIALIZED "
+    + nearest_sql("lab", "m1", "2 * (1 - n.s) < 1.1")
+    + ", m2 AS MATERIALIZED "
+    + mean_sql("placed", 3)
+    + """, near AS MATERIALIZED (SELECT src, dst FROM (SELECT a.cluster_id AS src, b.cluster_id AS dst, list_cosine_similarity(a.c, b.c) AS s,
+          row_number() OVER (PARTITION BY a.cluster_id ORDER BY CASE WHEN a.cluster_id = b.cluster_id THEN -2 ELSE -list_cosine_similarity(a.c, b.c) END, b.cluster_id) AS rn
+        FROM m2 a, m2 b) WHERE rn <= 10 AND src <> dst AND 1 - s < 0.6),
+      two AS (SELECT src, dst FROM near UNION SELECT dst, src FROM near),
+      reach2 AS (SELECT cluster_id AS id, cluster_id AS other FROM m2 UNION SELECT r.id, t.dst FROM reach2 r JOIN two t ON t.src = r.other),
+      comp2 AS (SELECT id, min(other) AS component FROM reach2 GROUP BY id),
+      keep AS (SELECT component, arg_max(id, (size, -id)) AS target FROM comp2 JOIN m2 ON m2.cluster_id = comp2.id GROUP BY component),
+      final AS MATERIALIZED (SELECT p.id, coalesce(k.target, p.cluster_id) AS cluster_id FROM placed p
+        LEFT JOIN comp2 ON comp2.id = p.cluster_id LEFT JOIN keep k USING (component))"""
+)
+
+
+@query("i17_full_clustering", FULL + " SELECT id, coalesce(cluster_id, -1) AS cluster_id FROM final")
 def i17(spark, d):
     run = cluster_faces(
         faces(spark, d), 50, LINK, assign_distance=1.1, merge_distance=0.6, band=(0.3, LINK + 0.05)
     )
-    return run.faces.select("id", "cluster_id")
+    return run.faces.select("id", F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id"))
 
 
-@query("i17_full_clustering_suggestions")
+@query(
+    "i17_full_clustering_suggestions",
+    FULL
+    + """, fu AS MATERIALIZED (SELECT u.id, f.cluster_id, u.u FROM {unit} u JOIN final f ON f.id = u.id),
+      b AS (SELECT face_id, suggested_cluster_id, distance, 'boundary_noise' AS reason FROM (
+        SELECT a.id AS face_id, b.cluster_id AS suggested_cluster_id, 1 - list_inner_product(a.u, b.u) AS distance,
+          row_number() OVER (PARTITION BY a.id ORDER BY 1 - list_inner_product(a.u, b.u), b.id) AS rn
+        FROM fu a, fu b WHERE a.cluster_id IS NULL AND b.cluster_id IS NOT NULL) WHERE rn = 1 AND distance BETWEEN 0.3 AND 0.65),
+      um AS (SELECT cluster_id, list(x ORDER BY i) AS m FROM (
+        SELECT cluster_id, i, avg(x) AS x FROM (SELECT cluster_id, unnest(u) AS x, unnest(range(0, len(u))) AS i FROM fu WHERE cluster_id IS NOT NULL)
+        GROUP BY cluster_id, i HAVING count(*) >= 5) GROUP BY cluster_id),
+      d AS (SELECT fu.id, fu.cluster_id, 1 - list_inner_product(fu.u, list_transform(m, lambda x: x / sqrt(list_inner_product(m, m)))) AS distance
+        FROM fu JOIN um ON um.cluster_id = fu.cluster_id),
+      o AS (SELECT id AS face_id, cluster_id AS suggested_cluster_id, distance, 'cluster_outlier' AS reason FROM (
+        SELECT *, quantile_cont(distance, 0.75) OVER (PARTITION BY cluster_id) AS p75 FROM d) WHERE distance > p75 AND distance > 0.2)
+    SELECT face_id, suggested_cluster_id, round(distance, 6) AS distance, reason, 'pending' AS status FROM (FROM b UNION ALL FROM o)""",
+)
 def i17_suggestions(spark, d):
     run = cluster_faces(
         faces(spark, d), 50, LINK, assign_distance=1.1, merge_distance=0.6, band=(0.3, LINK + 0.05)
     )
-    return run.suggestions
+    return run.suggestions.withColumn("distance", F.round("distance", 6))
 
 
 @query(
