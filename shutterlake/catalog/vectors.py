@@ -15,6 +15,7 @@ from shutterlake.operators import clustering as C
 from shutterlake.operators import neighbors as N
 from shutterlake.operators import search as Q
 from shutterlake.operators import vectors as X
+from shutterlake.operators.skew import skew_join
 from shutterlake.plans.face_run import cluster_faces
 from shutterlake.session import materialize
 
@@ -55,7 +56,7 @@ def h5(spark, d):
     s = V.cosine(F.col("embedding"), F.col("centroid"))
     dist = V.cosine_to_distance(s)
     squared = V.distance_to_sqeuclidean(dist)
-    return faces(spark, d).join(cents, "label").select(
+    return skew_join(faces(spark, d), cents, ["label"]).select(
         "id",
         F.round(V.norm(F.col("embedding")), 6).alias("norm"),
         F.round(s, 6).alias("cosine"),

@@ -149,7 +149,8 @@ def resolve_unknown(
     month = F.when(inside, F.substring_index(F.col("path"), marker, 1))
     unknown = media.where(inside).select("path", "sha256", month.alias("month_dir"))
     months = unknown.select("month_dir").distinct()
-    # A month folder sits two levels below its tree, so siblings carry it as prefix.
+    # Siblings carry their month folder as a prefix. Folder and hash together are the
+    # key: a folder near the root alone would hold nearly every file.
     sibling_dir = P.parent_dir(F.col("path"))
     depth = F.size(F.split(sibling_dir, "/"))
     ancestors = F.transform(
@@ -158,9 +159,7 @@ def resolve_unknown(
     )
     siblings = (
         media.where(~inside & F.col("sha256").isNotNull())
-        .select("sha256", F.explode(ancestors).alias("month_dir"))
-        .join(months, "month_dir", "left_semi")
-        .select("month_dir", "sha256")
+        .select(F.explode(ancestors).alias("month_dir"), "sha256")
         .distinct()
         .withColumn("_dup", F.lit(True))
     )
