@@ -526,19 +526,26 @@ def e2_folder(spark, d):
 @query(
     "e5_collision_names",
     """SELECT '/target/' || lang AS folder, name, path AS src,
-         CASE WHEN rn = 1 THEN name ELSE regexp_replace(name, '(\\.[^.]+)$', '_' || (rn - 1) || '\\1') END AS target
-       FROM (SELECT *, row_number() OVER (PARTITION BY lang, name ORDER BY path) AS rn FROM {media})""",
+         CASE WHEN n = 0 THEN name ELSE regexp_replace(name, '(\\.[^.]+)$', '_' || n || '\\1') END AS target
+       FROM (SELECT *, CASE WHEN m % 4 = 0 AND rn > 1 THEN rn + 1 WHEN m % 2 = 0 THEN rn ELSE rn - 1 END AS n FROM (
+         SELECT *, row_number() OVER (PARTITION BY lang, name ORDER BY path) AS rn,
+           min(media_id) OVER (PARTITION BY lang, name) AS m FROM {media}))""",
 )
 def e5(spark, d):
+    """Half of the names exist in their folder, half of those with the suffix 2 as well."""
     m = media(spark, d)
-    wanted = m.select(
-        F.concat(F.lit("/target/"), "lang").alias("folder"), "name", F.col("path").alias("src")
+    folder = F.concat(F.lit("/target/"), "lang").alias("folder")
+    names = m.groupBy(folder, "name").agg(F.min("media_id").alias("m"))
+    have = (
+        names.where(F.col("m") % 2 == 0)
+        .select("folder", "name")
+        .unionByName(
+            names.where(F.col("m") % 4 == 0).select(
+                "folder", P.suffixed_name(F.col("name"), F.lit(2), "plain").alias("name")
+            )
+        )
     )
-    # Nothing else lives in the target folders: the tree's own folders are other paths.
-    have = tree(spark, d).select(
-        P.parent_dir(F.col("path")).alias("folder"), P.file_name(F.col("path")).alias("name")
-    )
-    return D.number_collisions(wanted, have)
+    return D.number_collisions(m.select(folder, "name", F.col("path").alias("src")), have)
 
 
 @query(
