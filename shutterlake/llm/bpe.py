@@ -199,7 +199,11 @@ def _tables(spec: bytes) -> tuple[Bpe, Chunks]:
 
     def make() -> tuple[Bpe, Chunks]:
         bpe = Bpe(spec)
-        return bpe, Chunks(NO_SPACE, lambda new: [(packed(x), bpe.decode(x).encode()) for x in bpe.chunks(new)])
+        return bpe, Chunks(
+            NO_SPACE,
+            lambda new: [(packed(x), bpe.decode(x).encode()) for x in bpe.chunks(new)],
+            lambda a, b: (a[0] + b[0], a[1] + b" " + b[1]),
+        )
 
     return held("bpe", (zlib.crc32(spec), len(spec)), make)
 

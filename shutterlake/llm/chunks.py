@@ -12,6 +12,7 @@ results don't depend on it.
 
 from __future__ import annotations
 
+import operator
 import os
 import re
 import sys
@@ -50,11 +51,35 @@ class Chunks:
     again moves to the younger, and when that is full the older is dropped.
     """
 
-    def __init__(self, pattern: re.Pattern, encode: Callable[[list[str]], list]):
-        self.find, self.encode = pattern.findall, encode
+    def __init__(
+        self,
+        pattern: re.Pattern,
+        encode: Callable[[list[str]], list],
+        joined: Callable = operator.add,
+    ):
+        self.find, self.encode, self.joined = pattern.findall, encode, joined
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
+    @staticmethod
+    def _cut(chunk: str) -> str | None:
+        """What stands before closing marks, if it ends in an ASCII letter or digit: no token crosses there."""
+        stem = chunk.rstrip(".,;:!?")
+        return stem if stem and len(stem) < len(chunk) and stem[-1].isascii() and stem[-1].isalnum() else None
+
+    def _add(self, chunks: list[str], young: dict, old: dict) -> None:
+        """Make each of them known."""
+        new = []
+        for c in dict.fromkeys(chunks):
+            if c not in young:
+                if c in old:
+                    young[c] = old[c]
+                else:
+                    new.append(c)
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            young.update(zip(part, self.encode(part)))
+
     def lists(self, texts: Iterable[str]) -> list[list]:
         """For each text what its chunks map to."""
         found = [self.find(t) for t in texts]
@@ -68,9 +93,11 @@ class Chunks:
                     young[c] = old[c]
                 else:
                     new.append(c)
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            young.update(zip(part, self.encode(part)))
+        cut = {c: stem for c in new if (stem := self._cut(c)) is not None}
+        self._add([c for c in new if c not in cut], young, old)
+        self._add([x for c, stem in cut.items() for x in (stem, c[len(stem) :])], young, old)
+        for c, stem in cut.items():
+            young[c] = self.joined(young[stem], young[c[len(stem) :]])
         get = young.__getitem__
         return [list(map(get, chunks)) for chunks in found]
 
