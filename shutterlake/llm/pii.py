@@ -1,18 +1,20 @@
 """Personal data by fixed patterns and a skip-chain conditional random field (operator 4).
 
 The patterns find what has the full form of an e-mail address, IP address, card
-or phone number; these base spans always stay. The random field adds what the
-patterns miss. Its nodes are the tokens that hold a digit or an @; all other
-tokens are fixed to "none" by definition and only serve as context features.
+or phone number; these base spans always stay. A match that a pattern drops
+because it ran on into a neighbour is searched again for the spans inside it;
+these are known like base spans, but not counted as such. The random field adds
+what the patterns miss. Its nodes are the tokens that hold a digit or an @; all
+other tokens are fixed to "none" by definition and only serve as context features.
 Potentials: the features of a token and its neighbours; chain edges between
 tokens side by side; skip edges between a token and the next one, however far,
 with the same letters and digits, the same last seven digits or the same part
-before an @. Base spans clamp their tokens, and loopy sum-product message passing
+before an @. Known spans clamp their tokens, and loopy sum-product message passing
 carries them along the edges, so that equal or similar tokens get one label
 through the whole document. Runs of tokens whose marginal reaches ADD become
 added spans.
 
-The weights are fitted by pseudo-likelihood on a bounded sample with the base
+The weights are fitted by pseudo-likelihood on a bounded sample with the known
 spans as labels: at most TRAIN_DOCS documents, chosen by the hash of their id,
 with at most TRAIN_TOKENS such tokens each. All documents are searched whole.
 
@@ -22,7 +24,9 @@ are searched each for itself, so repeated rows give equal rows.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -101,6 +105,71 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_RUN = re.compile(r"[0-9]+")
+_PART = re.compile(r"\.[0-9]+")
+
+
+def _cards_within(text: str, start: int, end: int):
+    """Cards among the groups of digits of a dropped match: single groups, else windows of groups of 4 or more (the last 3)."""
+    groups = [m.span() for m in _RUN.finditer(text, start, end)]
+    alone = {g for g in groups if 14 <= g[1] - g[0] <= 19 and luhn(text[g[0] : g[1]])}
+    yield from alone
+    for i in range(len(groups)):
+        digits = ""
+        for j in range(i, len(groups)):
+            a, b = groups[j]
+            if b - a < 3 or (a, b) in alone or len(digits) + b - a > 19:
+                break
+            digits += text[a:b]
+            # Windows that overlap are all given: none of them can be ruled out.
+            if j > i and len(digits) >= 14 and luhn(digits):
+                yield groups[i][0], b
+            if b - a < 4:
+                break
+
+
+def retried_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans inside matches that base_spans drops whole because they ran on into a neighbour, by start, then kind.
+
+    A dropped card or IP match is searched again from each of its groups of
+    digits. A dropped phone match ends before the next other span in it; if none
+    leaves it its digits, all its beginnings of 10 to 15 digits are given.
+    """
+    held, out, done = set(base), set(), 0
+    for m in _IP.finditer(text):
+        if m.start() < done or (m.start(), 1, m.end()) in held:
+            continue
+        done = m.end()
+        while n := _PART.match(text, done):
+            done = n.end()
+        groups = [g.span() for g in _RUN.finditer(text, m.start(), done)]
+        parts = [text[a:b].lstrip("0") for a, b in groups]
+        fits = [len(p) <= 3 and int(p or 0) <= 255 for p in parts]
+        i = 1
+        while i + 4 <= len(groups):
+            if all(fits[i : i + 4]):
+                out.add((groups[i][0], 1, groups[i + 3][1]))
+                i += 4
+            else:
+                i += 1
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() > 14 and (m.start(), 2, m.end()) not in held:
+            out.update((a, 2, b) for a, b in _cards_within(text, m.start(), m.end()))
+    if "+" in text:
+        starts = sorted(a for a, kind, _ in held | out if kind in (1, 2))
+        for m in _PHONE.finditer(text):
+            if (m.start(), 3, m.end()) in held:
+                continue
+            k = bisect.bisect_right(starts, m.start())
+            stop = starts[k] if k < len(starts) and starts[k] < m.end() else m.end()
+            groups = [g.span() for g in _RUN.finditer(text, m.start(), m.end())]
+            n = list(itertools.accumulate(b - a for a, b in groups))
+            fits = [(m.start(), 3, b) for x, (_, b) in zip(n, groups) if 10 <= x <= 15]
+            before = [s for s in fits if s[2] <= stop]
+            out.update(before[-1:] if stop < m.end() and before else fits)
+    return sorted(out - held)
+
+
 def _tokens(text: str):
     """(start, end) of the runs without white space that hold a digit or an @; linear in the text."""
     done = 0
@@ -295,15 +364,16 @@ def search(w: dict[str, np.ndarray], texts: list[str]) -> list[tuple[list, list]
     """(base spans, all spans) of each text; the fields of all texts pass messages at once."""
     g = Graph()
     base = [base_spans(t) for t in texts]
-    ranges = [g.add(t, b) for t, b in zip(texts, base)]
+    again = [retried_spans(t, b) for t, b in zip(texts, base)]
+    ranges = [g.add(t, sorted([*b, *r])) for t, b, r in zip(texts, base, again)]
     features, clamped, chain, skip = g.arrays()
     prob = marginals(w, features, clamped, chain, skip) if len(features) else np.zeros((0, NONE + 1))
     chained = np.zeros(len(g.spans), bool)
     chained[chain[:, 1]] = True
     out = []
-    for t, b, (i, j) in zip(texts, base, ranges):
+    for t, b, r, (i, j) in zip(texts, base, again, ranges):
         more = _added(t, g.spans[i:j], clamped[i:j], prob[i:j], chained[i:j]) if j > i else []
-        out.append((b, sorted([*b, *more])))
+        out.append((b, sorted([*b, *r, *more])))
     return out
 
 
@@ -323,7 +393,8 @@ def _train_rows(batches):
         rows = []
         for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
             g = Graph()
-            g.add(text, base_spans(text))
+            base = base_spans(text)
+            g.add(text, sorted([*base, *retried_spans(text, base)]))
             if 0 < len(g.spans) <= TRAIN_TOKENS:
                 f, y, c, s = g.arrays()
                 rows.append((h, f.ravel().tolist(), y.tolist(), c.ravel().tolist(), s.ravel().tolist()))

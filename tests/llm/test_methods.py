@@ -179,6 +179,39 @@ def test_field_carries_labels_over_a_document():
     assert plain == []
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("que 7536784127813050 4845168114407329 aique", ["card:4:20", "card:21:37"]),  # sf0.1, document 46
+        ("h 2353820953013749 4550997810720808 th", ["card:19:35"]),  # 1262
+        ("Des +1 (826) 555-4081 190.137.223.204 du", ["phone:4:21", "ip:22:37"]),  # 1377
+        ("un. +1 (843) 555-7672 170.106.47.218 Et", ["phone:4:21", "ip:22:36"]),  # 7052
+        ("r, 4465758382889437 4465758382889437 \u00f3", ["card:3:19", "card:20:36"]),  # sf0.01, 254 and 402
+        ("12 4111 1111 1111 1111 99 and 4111-1111-1111-1111 12345", ["card:3:22", "card:30:49"]),
+        ("at 300.10.0.0.7", ["ip:7:15"]),
+        ("+1 (826) 555-4081 4845168114407329", ["phone:0:17", "card:18:34"]),
+        ("+49 1512 3456 7890 12345", ["phone:0:13", "phone:0:18", "card:4:24"]),
+        ("1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 and 10.0.0.300 or 999.1.1", []),
+    ],
+)
+def test_neighbours_do_not_hide_spans(text, want):
+    """A match that ran on into a neighbour is searched again; base spans stay as they are."""
+    none = np.zeros((0, 2), np.int64)
+    w = pii.fit(np.zeros((0, pii.N_FEATURES), np.int64), np.zeros(0, np.int64), none, none)
+    [(base, spans)] = pii.search(w, [text])
+    assert [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base] == plain_base(text)
+    assert [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans] == want
+    assert pii.redact(text, spans).count("[") <= len(spans)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("04.-+ 1()"), max_size=60))
+def test_retried_spans_keep_the_rules(text):
+    base = pii.base_spans(text)
+    for a, kind, b in pii.retried_spans(text, base):
+        assert any(pii.KINDS[kind] + f":{0}:{b - a}" == x for x in plain_base(text[a:b])) and (a, kind, b) not in base
+
+
 def test_log_tail_is_exact(spark):
     from pyspark.sql import functions as F
 
