@@ -101,6 +101,13 @@ def _links(threshold: float):
 
     def verify(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
+        side = t.column("side").to_numpy()
+        one_block = t.column("i")[0] == t.column("j")[0]
+        if not one_block and (side == side[0]).all():
+            # No member fell into the other block; the pairs of this one are verified by itself.
+            return pa.table(
+                {"rep": pa.array([], pa.binary()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.binary())}
+            )
         texts = t.column("text").chunk(0)
         words, at = S.word_hashes(texts)
         sh, sat = S.shingle_hashes(words, at)
@@ -118,8 +125,6 @@ def _links(threshold: float):
         code, owner = code[shared], owner[shared]
         column = np.cumsum(often > 1) - 1
         code = column[code]  # ascending, as the shingles are sorted
-        side = t.column("side").to_numpy()
-        one_block = not (side != side[0]).any()
         left = np.arange(n) if one_block else np.flatnonzero(side == 0)
         right = left if one_block else np.flatnonzero(side == 1)
         inter = np.zeros((len(left), len(right)), np.float64)

@@ -125,6 +125,15 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got == {**{i: (0, 59) for i in range(60)}, **{60 + i: (60 + i, 0) for i in range(5)}}
 
 
+def test_blocks_without_members(spark, monkeypatch):
+    """Few long texts in several blocks by bytes, some of them empty: each link counts once."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 1600)
+    texts = [" ".join([*(f"g{g}w{i}" for i in range(200)), f"end{k}"]) for g in range(12) for k in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in ngram_join.classes(df).select("doc", "class_id", "n_links").collect())
+    assert got == [(i, i - i % 3, 2) for i in range(36)]
+
+
 def test_personal_data(docs):
     weights = pii.train(docs)
     got = pii.find(docs, weights).select("row.doc_id", "base_sha256", "spans", "redacted").collect()
