@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm import shingles as S
-from shutterlake.llm.text import table, whole
+from shutterlake.llm.text import SPACE, table, whole
 from shutterlake.operators.graph import connected_components
 from shutterlake.session import materialize
 
@@ -296,14 +296,19 @@ def classes(
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that come first in their class, one row each; all columns stay."""
+    """The documents that come first in their class, one row each; all columns stay.
+
+    Rows without words are documents of their own, whatever their id: all of them stay.
+    """
     keep = classes(docs).where("first").select("doc", "th").distinct()
     held = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("row"),
         F.coalesce(docs["doc_id"].cast("long"), F.lit(2**63 - 1)).alias("doc"),
         F.xxhash64(whole(docs["text"])).alias("th"),
+        whole(docs["text"]).rlike(f"[^{SPACE}]").alias("worded"),
     )
-    out = held.join(keep, ["doc", "th"]).groupBy("doc", "th").agg(F.first("row").alias("row"))
+    out = held.where("worded").join(keep, ["doc", "th"]).groupBy("doc", "th").agg(F.first("row").alias("row"))
+    out = out.select("row").unionAll(held.where("NOT worded").select("row"))
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -134,6 +134,13 @@ def test_blocks_without_members(spark, monkeypatch):
     assert got == [(i, i - i % 3, 2) for i in range(36)]
 
 
+def test_rows_without_words_stay(spark):
+    """Texts without words are documents of their own, also with null or repeated ids."""
+    rows = [(None, ""), (None, ""), (None, None), (4, " \n"), (4, " \n"), (4, "a b c"), (4, "a b c"), (5, "a b c")]
+    got = ngram_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows[:6]))
+
+
 def test_personal_data(docs):
     weights = pii.train(docs)
     got = pii.find(docs, weights).select("row.doc_id", "base_sha256", "spans", "redacted").collect()
