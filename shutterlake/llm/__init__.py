@@ -18,6 +18,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
     """The queries by name, and the SQL of those that SQL can express."""
     from shutterlake.llm import (
         bpe,
+        fill_middle,
         fingerprints,
         line_dedup,
         ngram_join,
@@ -40,11 +41,13 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         "op8_bpe": bpe.query,
         "op9_token_files": token_files.query,
         "op10_quality_rules": quality.query,
+        "op11_fill_middle": fill_middle.query,
     }
     sql = {
         "op1_url_filters": url_filters.SQL,
         "op2_line_dedup": line_dedup.SQL,
         "op6_ngram_join": ngram_join.SQL,
         "op10_quality_rules": quality.SQL,
+        "op11_fill_middle": fill_middle.SQL,
     }
     return queries, sql
