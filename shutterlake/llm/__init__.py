@@ -21,6 +21,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         fill_middle,
         fingerprints,
         line_dedup,
+        merkle,
         ngram_join,
         packing,
         pii,
@@ -42,6 +43,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         "op9_token_files": token_files.query,
         "op10_quality_rules": quality.query,
         "op11_fill_middle": fill_middle.query,
+        "op12_merkle_manifest": merkle.query,
     }
     sql = {
         "op1_url_filters": url_filters.SQL,
@@ -49,5 +51,6 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         "op6_ngram_join": ngram_join.SQL,
         "op10_quality_rules": quality.SQL,
         "op11_fill_middle": fill_middle.SQL,
+        "op12_merkle_manifest": merkle.SQL,
     }
     return queries, sql
