@@ -26,6 +26,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         packing,
         pii,
         quality,
+        super_minhash,
         token_counts,
         token_files,
         url_filters,
@@ -44,6 +45,7 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         "op10_quality_rules": quality.query,
         "op11_fill_middle": fill_middle.query,
         "op12_merkle_manifest": merkle.query,
+        "op13_near_duplicates": super_minhash.query,
     }
     sql = {
         "op1_url_filters": url_filters.SQL,
@@ -52,5 +54,6 @@ def registry() -> tuple[dict[str, Query], dict[str, str]]:
         "op10_quality_rules": quality.SQL,
         "op11_fill_middle": fill_middle.SQL,
         "op12_merkle_manifest": merkle.SQL,
+        "op13_near_duplicates": super_minhash.SQL,
     }
     return queries, sql
