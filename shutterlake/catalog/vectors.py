@@ -447,6 +447,11 @@ def i11(spark, d):
     return C.density_cluster(faces(spark, d), LINK, 0.5)
 
 
+@query("i11_density_hierarchy")
+def i11_hierarchy(spark, d):
+    return C.density_hierarchy(faces(spark, d), 0.15, 0.5, 3)
+
+
 @query("i12_average_linkage")
 def i12(spark, d):
     return C.average_linkage(faces(spark, d), 0.65)

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shutterlake.functions import vectors as V
+from shutterlake.operators import hierarchy as H
 from shutterlake.operators import neighbors as N
 from shutterlake.operators.graph import connected_components
 from shutterlake.operators.ordering import number_rows
@@ -290,13 +291,17 @@ def density_cluster(
 ) -> DataFrame:
     """Flat density cut at eps, then noise within `soft` of a raw-mean centroid joins it.
 
-    This is the cut of the density hierarchy at one level. Clusters that a
-    stability-based selection would find only above eps are not recovered.
+    This is the cut of the density hierarchy at one level; `density_hierarchy`
+    also finds the clusters that are born above it.
     """
     rows = materialize(N.vector_rows(df, key, vector))
     edges = N.component_edges(rows, eps, closed=True, **route)
     labels = label_components(connected_components(rows, edges), min_size)
-    placed = materialize(rows.join(labels, "id"))
+    return _near_noise_joins(materialize(rows.join(labels, "id")), soft, **route)
+
+
+def _near_noise_joins(placed: DataFrame, soft: float, **route) -> DataFrame:
+    """(id, cluster_id): noise within `soft` of a raw-mean centroid joins it, other noise is -1."""
     cents = materialize(
         N.vector_rows(
             centroids(placed, "cluster_id", "vec", normalize=False), "cluster_id", "centroid"
@@ -313,6 +318,38 @@ def density_cluster(
     )
 
 
+def density_hierarchy(
+    df: DataFrame,
+    epsilon: float = 0.15,
+    soft: float = 0.15,
+    min_size: int = 2,
+    min_samples: int = 1,
+    max_distance: float | None = None,
+    key: str = "id",
+    vector: str = "embedding",
+    **route,
+) -> DataFrame:
+    """(id, cluster_id): clusters of greatest stability, then noise within `soft` of a centroid joins it.
+
+    Chosen clusters born below epsilon give way to the one around them that is
+    born above. Copies of a vector are one weighted row. With a maximum distance
+    the hierarchy ends there, and what is then a root is never chosen.
+    """
+    rows = materialize(N.vector_rows(df, key, vector))
+    distinct, members = _copies(rows)
+    with_core, lists = H.reachable(distinct, min_samples, **route)
+    edges, _ = H.spanning_forest(with_core, lists, max_distance, **route)
+    tree, points = H.condensed_tree(with_core, edges, min_size)
+    chosen = H.select_clusters(tree, epsilon).where("chosen IS NOT NULL")
+    known = points.join(materialize(chosen), "cluster").select("id", F.col("chosen").alias("component"))
+    labelled = materialize(skew_join(members, known.withColumnRenamed("id", "rep"), ["rep"]))
+    firsts = labelled.groupBy("component").agg(F.min("id").alias("first"))
+    numbers = dense_labels(firsts.select(F.col("first").alias("component"))).withColumnRenamed("component", "first")
+    named = materialize(firsts.join(numbers, "first").select("component", "cluster_id"))
+    labels = skew_join(labelled, named, ["component"]).select("id", "cluster_id")
+    return _near_noise_joins(materialize(rows.join(labels, "id", "left")), soft, **route)
+
+
 def average_linkage(
     df: DataFrame,
     max_distance: float = 0.20,

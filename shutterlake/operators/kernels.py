@@ -158,6 +158,32 @@ def all_hits(left, lm, right, rm, opt) -> dict:
     return {"src": left["id"][rows], "dst": right["id"][cols], "distance": d[rows, cols]}
 
 
+def nearest_other(left, lm, right, rm, opt) -> dict:
+    """Per left row the right row of another label that it reaches first, by (reach, right id).
+
+    Reach is the distance, or the core distance of either end if that is larger.
+    It is rounded, so that both ends see one value and ties are ties everywhere.
+    """
+    d = np.maximum(distances(lm, rm, opt["metric"]), 0.0)
+    d = np.round(np.maximum(d, np.maximum(left["core"][:, None], right["core"][None, :])), DECIMALS)
+    d[left["label"][:, None] == right["label"][None, :]] = np.inf
+    best = d.min(axis=1)
+    ok = best < np.inf if opt["cut"] is None else best <= opt["cut"]
+    rid = np.where(d[ok] == best[ok][:, None], right["id"][None, :], np.iinfo(np.int64).max)
+    at = rid.argmin(axis=1)
+    return {
+        "id": left["id"][ok],
+        "label": left["label"][ok],
+        "nid": right["id"][at],
+        "nlabel": right["label"][at],
+        "w": best[ok],
+    }
+
+
+#: Decimals of distances that are compared for order.
+DECIMALS = 9
+
+
 # ---- which blocks a row has to meet ------------------------------------------------
 
 

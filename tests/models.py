@@ -134,3 +134,78 @@ def dbscan(m, eps, min_samples):
             adj = [names[comp[j]] for j in near[i] if j in inside]
             out[i] = min(adj) if adj else -1
     return out
+
+
+def density_hierarchy(m, epsilon, soft, min_size, min_samples=1, least=1e-9):
+    """Cluster per row, -1 for noise: the whole distance matrix, merged from short to long."""
+    n = len(m)
+    d = np.round(np.maximum(1 - unit(m) @ unit(m).T, 0), 9)
+    np.fill_diagonal(d, 0)
+    core = np.sort(d, axis=1)[:, min_samples]
+    reach = np.maximum(d, np.maximum(core[:, None], core[None, :]))
+    group = list(range(n))  # component of each row
+    state = {i: {"rows": [i], "cluster": None} for i in range(n)}
+    clusters = []  # parent, birth, rows, and sum over rows of the density where each leaves
+    leaves = [None] * n
+    heights = sorted({reach[i, j] for i in range(n) for j in range(i)})
+    for h in heights:
+        density = 1 / max(h, least)
+        edges = [(group[i], group[j]) for i in range(n) for j in range(i) if reach[i, j] == h and group[i] != group[j]]
+        ids = sorted({x for e in edges for x in e})
+        comp = components(len(ids), [(ids.index(a), ids.index(b)) for a, b in edges])
+        for c in set(comp):
+            parts = [ids[k] for k in range(len(ids)) if comp[k] == c]
+            rows = [r for p in parts for r in state[p]["rows"]]
+            big = [state[p] for p in parts if state[p]["cluster"] is not None]
+            small = [r for p in parts if state[p]["cluster"] is None for r in state[p]["rows"]]
+            own = None
+            if len(big) == 1:
+                own = big[0]["cluster"]
+            elif big or len(rows) >= min_size:
+                own = len(clusters)
+                clusters.append({"parent": None, "birth": None, "rows": None, "sum": 0.0})
+                for b in big:
+                    clusters[b["cluster"]].update(parent=own, birth=h, rows=b["rows"])
+                    clusters[own]["sum"] += len(b["rows"]) * density
+            if own is not None:
+                for r in small:
+                    leaves[r] = own
+                clusters[own]["sum"] += len(small) * density
+            for p in parts:
+                del state[p]
+            state[parts[0]] = {"rows": rows, "cluster": own}
+            for r in rows:
+                group[r] = parts[0]
+    inner = [c for c in range(len(clusters)) if clusters[c]["parent"] is not None]
+    chosen, value = set(), {}
+    for c in inner:  # children come before their parents
+        x = clusters[c]
+        stable = x["sum"] - len(x["rows"]) / max(x["birth"], least)
+        below = sum(value[k] for k in inner if clusters[k]["parent"] == c)
+        value[c] = max(stable, below)
+        if not below > stable:
+            inside = [c]
+            while inside:
+                k = inside.pop()
+                chosen.discard(k)
+                inside += [q for q in inner if clusters[q]["parent"] == k]
+            chosen.add(c)
+    final = set()
+    for c in chosen:
+        if clusters[c]["birth"] < epsilon:
+            while clusters[c]["birth"] <= epsilon and clusters[clusters[c]["parent"]]["parent"] is not None:
+                c = clusters[c]["parent"]
+        final.add(c)
+    out = []
+    for r in range(n):
+        c = leaves[r]
+        while c is not None and c not in final:
+            c = clusters[c]["parent"]
+        out.append(c)
+    order = {c: k for k, c in enumerate(dict.fromkeys(c for c in out if c is not None))}
+    out = [None if c is None else order[c] for c in out]
+    if not order:
+        return [-1] * n
+    cents = unit(np.array([np.mean([m[r] for r in range(n) if out[r] == k], axis=0) for k in range(len(order))]))
+    far = 1 - unit(m) @ cents.T
+    return [c if c is not None else int(far[r].argmin()) if far[r].min() < soft else -1 for r, c in enumerate(out)]
