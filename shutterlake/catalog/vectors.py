@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 from shutterlake.catalog.core import clusters, faces, query, table
 from shutterlake.functions import vectors as V
 from shutterlake.operators import clustering as C
+from shutterlake.operators import lsh as LSH
 from shutterlake.operators import neighbors as N
 from shutterlake.operators import search as Q
+from shutterlake.operators import vector_index as VI
 from shutterlake.operators import vectors as X
 from shutterlake.operators.skew import skew_join
 from shutterlake.plans.face_run import cluster_faces
-from shutterlake.session import materialize
+from shutterlake.session import materialize, scratch_path
 
 LINK = 0.60  # cosine distance that links a few percent of the rows
 
@@ -192,6 +194,24 @@ def i1_cells(spark, d):
     return p.select("src", "dst", F.round("distance", 6).alias("distance"))
 
 
+@query(
+    "i2_approximate_join",
+    f"""SELECT count(*) AS exact, 0::BIGINT AS wrong, true AS reached
+        FROM {{unit}} a, {{unit}} b WHERE a.id < b.id AND {PAIR} <= {LINK}""",
+)
+def i2(spark, d):
+    """The approximate join against the exact one: nothing wrong, and at least nine in ten found."""
+    all_rows = rows(spark, d)
+    found = LSH.approximate_pairs(all_rows, LINK, bits=6, block_rows=256)
+    recall = LSH.measured_recall(N.similar_pairs(all_rows, LINK), found)
+    return recall.select("exact", "wrong", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query("i2_approximate_pairs")
+def i2_pairs(spark, d):
+    return LSH.approximate_pairs(rows(spark, d), LINK)
+
+
 @query(
     "c11_nearest_centroid",
     """SELECT id, cluster_id, round(distance, 6) AS distance FROM (
@@ -282,6 +302,17 @@ def c15(spark, d):
     return hits.withColumn("similarity", F.round("similarity", 6))
 
 
+@query("c15_i19_stored_index", SEARCH % ("WHERE u.species = 'dog'", 10))
+def c15_stored(spark, d):
+    """The same search over an index that was stored in two batches."""
+    f = faces(spark, d)
+    path = scratch_path(spark, "index")
+    VI.write_index(f.where("id % 3 <> 0"), path, carry=["species"], cell_rows=64)
+    VI.add_rows(f.where("id % 3 = 0"), path, carry=["species"])
+    hits = VI.search_index(spark, path, label_queries(spark, d), 10, keep=F.col("species") == "dog")
+    return hits.select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("c15_search_overfetch", SEARCH % ("", 30))
 def c15_over(spark, d):
     index = N.vector_rows(faces(spark, d), "id", "embedding", ["species"])
