@@ -488,6 +488,11 @@ def i12(spark, d):
     return C.average_linkage(faces(spark, d), 0.65)
 
 
+@query("i13_ward")
+def i13_ward(spark, d):
+    return C.ward(faces(spark, d), 80)
+
+
 @query("i13_bisecting")
 def i13(spark, d):
     return C.bisecting(faces(spark, d), 80)

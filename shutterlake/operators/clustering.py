@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import vectors as V
 from shutterlake.operators import hierarchy as H
+from shutterlake.operators import linkage as L
 from shutterlake.operators import neighbors as N
 from shutterlake.operators.graph import connected_components
 from shutterlake.operators.ordering import number_rows
 from shutterlake.operators.skew import skew_join
-from shutterlake.operators.vectors import centroids, cluster_statistics, vector_sum
+from shutterlake.operators.vectors import centroids, cluster_statistics
 from shutterlake.session import materialize, release
 
 NOISE = -1
@@ -357,52 +358,37 @@ def average_linkage(
     vector: str = "embedding",
     **route,
 ) -> DataFrame:
-    """(id, cluster_id) of average-linkage clustering on cosine distance, cut at a height.
+    """(id, cluster_id) of average-linkage clustering on cosine distance, cut at a height."""
+    rows = N.vector_rows(df, key, vector).select("id", V.unit(F.col("vec")).alias("vec"))
+    distinct, members = _copies(rows)
+    merges, _ = L.agglomerate(_totals(distinct), "average", max_distance, **route)
+    edges = merges.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    return label_components(_spread(connected_components(distinct, edges), members), 1)
+
+
+def _totals(distinct: DataFrame) -> DataFrame:
+    return distinct.select("id", F.transform("vec", lambda x: x * F.col("size")).alias("total"), "size")
+
+
+def ward_merges(df: DataFrame, key: str = "id", vector: str = "embedding", **route) -> DataFrame:
+    """(source, target, height): the whole merge table under Ward's cost, one merge less than vectors."""
+    distinct, _ = _copies(materialize(N.vector_rows(df, key, vector)))
+    return L.agglomerate(_totals(distinct), "ward", **route)[0]
+
+
+def ward(df: DataFrame, k: int, key: str = "id", vector: str = "embedding", **route) -> DataFrame:
+    """(id, cluster_id): k clusters by Ward's method, or one per distinct vector if there are fewer.
 
-    The average distance of two clusters is one minus the product of their mean
-    unit vectors, so a cluster is carried as (sum, count) and no pair list
-    exists. Average linkage is reducible: all reciprocal nearest neighbours
-    below the cut may merge at once. Rounds end when none is left; each removes
-    a cluster. Tables of earlier rounds are deleted.
+    The cheapest merges are those that lead to k clusters, as no merge costs less
+    than one inside it.
     """
-    rows = N.vector_rows(df, key, vector).select("id", V.unit(F.col("vec")).alias("vec"))
+    rows = materialize(N.vector_rows(df, key, vector))
     distinct, members = _copies(rows)
-    clusters = distinct.select(
-        "id",
-        F.transform("vec", lambda x: x * F.col("size")).alias("total"),
-        "size",
-    )
-    clusters = materialize(clusters)
-    owner = materialize(members.select("id", F.col("rep").alias("component")))
-    while True:
-        means = clusters.select(
-            "id", F.transform("total", lambda x: x / F.col("size")).alias("vec")
-        )
-        best = N.knn_join(
-            means, means, 1, max_distance, closed=True, include_self=False, normalize=False, **route
-        )
-        best = materialize(best.select("id", "nid"))
-        back = best.select(F.col("id").alias("nid"), F.col("nid").alias("id"))
-        moves = best.join(back, ["id", "nid"]).where(F.col("id") > F.col("nid"))
-        moves = moves.select(F.col("id").alias("source"), F.col("nid").alias("target"))
-        if moves.isEmpty():
-            return label_components(owner, 1)
-        moved = clusters.join(
-            moves.select(F.col("source").alias("id"), "target"), "id", "left"
-        ).withColumn("id", F.coalesce("target", "id"))
-        merged = materialize(
-            moved.groupBy("id").agg(
-                vector_sum(F.col("total")).alias("total"), F.sum("size").alias("size")
-            )
-        )
-        to = moves.select(F.col("source").alias("component"), "target")
-        moved_to = materialize(
-            owner.join(to, "component", "left").select(
-                "id", F.coalesce("target", "component").alias("component")
-            )
-        )
-        release(clusters, owner, best)
-        clusters, owner = merged, moved_to
+    merges, _ = L.agglomerate(_totals(distinct), "ward", **route)
+    ranked = number_rows(merges, [], [F.col("height").asc(), F.col("source").asc()], "_n")
+    edges = ranked.where(F.col("_n") <= distinct.count() - max(1, k))
+    edges = materialize(edges.select(F.col("source").alias("src"), F.col("target").alias("dst")))
+    return label_components(_spread(connected_components(distinct, edges), members), 1)
 
 
 def bisecting(
@@ -410,8 +396,8 @@ def bisecting(
 ) -> DataFrame:
     """(id, cluster_id): fixed number of clusters of low variance.
 
-    Same objective as Ward's method (variance inside clusters) reached from the
-    other side, by splitting instead of merging, so single labels can differ.
+    Same objective as `ward` (variance inside clusters) reached from the other
+    side, by splitting instead of merging, so single labels can differ.
     """
     rows = df.where(V.usable_vector(F.col(vector))).select(
         F.col(key).alias("id"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")

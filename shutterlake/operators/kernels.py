@@ -66,9 +66,15 @@ def within(d: np.ndarray, cut: float | None, closed: bool) -> np.ndarray:
     return d <= cut if closed else d < cut
 
 
+def ward_costs(left, lm, right, rm) -> np.ndarray:
+    """What joining two clusters of these means and sizes adds to the squares inside clusters."""
+    n, m = left["size"][:, None].astype(float), right["size"][None, :].astype(float)
+    return distances(lm, rm, "euclidean") ** 2 * (n * m / (n + m))
+
+
 def nearest_k(left, lm, right, rm, opt) -> dict:
     """At most k right rows per left row, by (distance, right id)."""
-    d = distances(lm, rm, opt["metric"])
+    d = ward_costs(left, lm, right, rm) if opt["metric"] == "ward" else distances(lm, rm, opt["metric"])
     hit = within(d, opt["cut"], opt["closed"])
     if opt["skip_self"]:
         hit &= left["id"][:, None] != right["id"][None, :]
@@ -180,6 +186,46 @@ def nearest_other(left, lm, right, rm, opt) -> dict:
     }
 
 
+def agglomerate(costs: np.ndarray, sizes: np.ndarray, bound: np.ndarray, linkage: str, cut: float) -> list[tuple]:
+    """(source, target, cost) of all merges of a block that hold whatever lies outside it.
+
+    `bound` is a cost that no cluster outside the block undercuts. Two clusters
+    merge when each is the other's cheapest partner and neither bound is lower.
+    A merged cluster keeps the lower bound of its parts, as merging never brings
+    two clusters nearer to a third one than the nearer of them was. Rows merge
+    into the one that comes first.
+    """
+    c, n, bound = costs.copy(), sizes.astype(float), bound.copy()
+    np.fill_diagonal(c, np.inf)
+    m = len(n)
+    live = np.ones(m, bool)
+    best = c.argmin(axis=1) if m else np.zeros(0, np.int64)
+    out = []
+    while True:
+        i = np.flatnonzero(live)
+        j = best[i]
+        cost = c[i, j]
+        room = np.minimum(bound[i], bound[j])
+        ok = (i < j) & (best[j] == i) & (cost <= cut) & (cost <= room + 1e-9 * (1 + np.abs(cost)))
+        if not ok.any():
+            return out
+        touched = np.zeros(m, bool)
+        for a, b in zip(i[ok], j[ok]):
+            na, nb, own = n[a], n[b], c[a, b]
+            out.append((int(b), int(a), float(own)))
+            if linkage == "ward":
+                row = ((na + n) * c[a] + (nb + n) * c[b] - n * own) / (na + nb + n)
+            else:
+                row = (na * c[a] + nb * c[b]) / (na + nb)
+            row[a] = row[b] = np.inf
+            c[a], c[:, a] = row, row
+            c[b], c[:, b] = np.inf, np.inf
+            n[a], bound[a], live[b] = na + nb, min(bound[a], bound[b]), False
+            touched[a] = touched[b] = True
+        again = np.flatnonzero(live & (touched | touched[best]))
+        best[again] = c[again].argmin(axis=1)
+
+
 #: Decimals of distances that are compared for order.
 DECIMALS = 9
 

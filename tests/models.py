@@ -209,3 +209,19 @@ def density_hierarchy(m, epsilon, soft, min_size, min_samples=1, least=1e-9):
     cents = unit(np.array([np.mean([m[r] for r in range(n) if out[r] == k], axis=0) for k in range(len(order))]))
     far = 1 - unit(m) @ cents.T
     return [c if c is not None else int(far[r].argmin()) if far[r].min() < soft else -1 for r, c in enumerate(out)]
+
+
+def ward(m, k):
+    """Cluster per row: the cheapest merge first, until k are left."""
+    groups = [[i] for i in range(len(m))]
+    while len(groups) > k:
+        best = None
+        for x in range(len(groups)):
+            for y in range(x):
+                a, b = m[groups[x]], m[groups[y]]
+                cost = len(a) * len(b) / (len(a) + len(b)) * ((a.mean(0) - b.mean(0)) ** 2).sum()
+                if best is None or cost < best[0] - 1e-12:
+                    best = cost, x, y
+        _, x, y = best
+        groups[y] += groups.pop(x)
+    return [next(g for g, members in enumerate(groups) if i in members) for i in range(len(m))]
