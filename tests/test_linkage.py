@@ -34,7 +34,7 @@ def test_merge_table(spark):
     assert len(rows) == 49 and len({r.source for r in rows}) == 49 and all(r.target < r.source for r in rows)
     total = ((m - m.mean(0)) ** 2).sum()
     assert sum(r.height for r in rows) == pytest.approx(total)
-    assert rounds[0]["searched"] == 50 and sum(r["merged"] for r in rounds) == 49
+    assert rounds[0]["searched"] == 50 and rounds[-1]["searched"] == 0 and sum(r["merged"] for r in rounds) == 49
 
 
 def test_a_long_chain_ends_in_few_rounds(spark):
