@@ -289,6 +289,53 @@ def lead(pdf, state, window_us, km):
     return leader, live
 
 
+# ---- groups of near hashes ----------------------------------------------------------
+
+
+def alike(a: dict, b: dict, i: np.ndarray, j: np.ndarray, limit: int, km: float) -> np.ndarray:
+    """Which rows i of a and j of b have hashes of fewer differing bits than the limit, at places that can be one.
+
+    Two rows that are both not late are never alike: time has grouped them before.
+    """
+    hit = np.bitwise_count(a["phash"][i][:, None] ^ b["phash"][j][None, :]) < limit
+    hit &= (a["late"][i][:, None] + b["late"][j][None, :]) > 0
+    x, y = np.nonzero(hit)
+    la, lo, lb, ob = a["lat"][i][x], a["lon"][i][x], b["lat"][j][y], b["lon"][j][y]
+    unknown = np.isnan(la) | np.isnan(lo) | np.isnan(lb) | np.isnan(ob)
+    far = ~unknown
+    far[far] = ~(km_between(la[far], lo[far], lb[far], ob[far]) <= km)
+    hit[x[far], y[far]] = False
+    return hit
+
+
+def tie(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
+    """First place of the component of each of n places, given links a - b (and the components so far)."""
+    label = np.arange(n) if label is None else label
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    return label
+
+
+def first_leaders(rows: dict, limit: int, km: float) -> np.ndarray:
+    """Place of each row's leader (its own for a leader), rows visited in order."""
+    n = len(rows["pos"])
+    owner = np.full(n, -1)
+    for i in range(n):
+        if owner[i] < 0:
+            rest = np.flatnonzero(owner[i:] < 0) + i
+            took = rest[alike(rows, rows, np.array([i]), rest, limit, km)[0]]
+            owner[took] = i
+            owner[i] = i
+    return owner
+
+
 def nullable(x):
     return None if x is None or np.isnan(x) else float(x)
 

@@ -51,6 +51,36 @@ def test_one_run_over_all_slices(spark):
     assert got == groups(leaders(plain, 6, 3_000_000, 0.1))
 
 
+def ball(n, bits, seed):
+    """Distinct hashes within so many bits of one."""
+    r = np.random.default_rng(seed)
+    out = set()
+    while len(out) < n:
+        out |= {sum(1 << int(b) for b in r.choice(64, r.integers(0, bits + 1), replace=False)) for _ in range(n)}
+    return np.array(sorted(out), np.uint64)[r.permutation(len(out))[:n]] ^ np.uint64(0x5A5A00FF12345678)
+
+
+@pytest.mark.parametrize(("n", "bits", "visited", "block"), [(100_000, 4, 4096, 2048), (3000, 3, 40, 64)])
+def test_a_ball_of_hashes_has_no_pair_list(spark, monkeypatch, n, bits, visited, block):
+    """Near hashes at one place: the greedy rule, from blocks that return one row per hash."""
+    monkeypatch.setattr(B, "VISITED", visited)
+    monkeypatch.setattr(B, "HASH_BLOCK", block)
+    h = ball(n, bits, 3)
+    late = np.arange(n) >= 5  # a few dated leaders first
+    rows = [(i, int(late[i]), int(x), None, None) for i, x in enumerate(h.view(np.int64))]
+    df = spark.createDataFrame(rows, "pos bigint, late int, phash bigint, lat double, lon double").repartition(8)
+    got = B.leaders_by_hash(df, 6, 0.1).collect()
+    owner = dict((r.pos, r.leader) for r in got)
+    assert len(got) == len(owner) == n
+    free = np.ones(n, bool)
+    for i in range(n):
+        if free[i]:
+            near = free & (np.bitwise_count(h ^ h[i]) < 6) & (np.arange(n) > i) & late
+            near[i] = True
+            assert all(owner[j] == i for j in np.flatnonzero(near))
+            free &= ~near
+
+
 def test_band_plan_keeps_all_distances():
     for n in (10, 10**6, 10**9, 10**12):
         bands, equal = B.band_plan(n, 6)
