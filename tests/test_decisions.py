@@ -99,3 +99,44 @@ def test_late_batches_join_their_event(spark, tmp_path):
         got = Z.drain(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     rows = [(r.first_ts, r.last_ts, r.num_photos) for r in got.collect()]
     assert rows == [(at(12), at(14, 30), 4)]
+
+
+def test_event_stream_over_many_triggers(spark, tmp_path):
+    """Fifteen triggers of shuffled rows: the events of the batch operator, save what the watermark has not closed."""
+    import datetime as dt
+
+    import numpy as np
+    from models import events
+
+    r = np.random.default_rng(5)
+    start = dt.datetime(2024, 3, 1)
+    rows, t = [], {0: 0.0, 1: 0.0}
+    for i in range(240):
+        owner = int(r.integers(0, 2))
+        t[owner] += float(r.choice([60, 600, 3600, 9000]))
+        place = None if r.random() < 0.3 else (40.0 + 0.05 * int(r.integers(0, 2)), -74.0)
+        rows.append((owner, start + dt.timedelta(seconds=t[owner]), *(place or (None, None))))
+    rows.sort(key=lambda x: x[1])
+    schema = "owner bigint, ts timestamp, lat double, lon double"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([], schema).write.parquet(source)
+    stream = Z.event_stream(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "owner", delay="5 hours"
+    )
+    for k in range(0, 240, 16):  # rows of a batch in any order, and some rows a batch late
+        part = rows[k : k + 16]
+        spark.createDataFrame([part[i] for i in r.permutation(len(part))], schema).coalesce(1).write.mode("append").parquet(source)
+    got = Z.drain(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect()
+    for owner in (0, 1):
+        own = [(i, round((x[1] - start).total_seconds() * 1e6), None if x[2] is None else x[2:]) for i, x in enumerate(rows) if x[0] == owner]
+        number = events(own, 7200 * 10**6, 1.0)
+        want = {}
+        for i, us, _ in own:
+            want.setdefault(number[i], []).append(us)
+        mine = {e.event_id: (e.num_photos, e.first_ts, e.last_ts) for e in got if e.owner == owner}
+        assert len(mine) > 10
+        for k, (n, first, last) in mine.items():
+            assert (n, first, last) == (
+                len(want[k]), start + dt.timedelta(microseconds=want[k][0]), start + dt.timedelta(microseconds=want[k][-1])
+            )
+        assert set(mine) >= set(range(max(mine)))

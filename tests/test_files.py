@@ -247,7 +247,7 @@ def test_file_stream_keeps_one_per_content(spark, tree, tmp_path):
         .start()
     )
     q.awaitTermination()
-    stored = spark.read.parquet(str(tmp_path / "out"))
+    stored = Z.stored_files(spark, str(tmp_path / "out"))
     assert stored.count() == 4 == stored.select("sha256").distinct().count()
 
 
@@ -272,3 +272,33 @@ def test_library_run(spark):
     assert run.duplicates.count() == 8
     assert run.events.select("event_id").distinct().count() == 1
     assert run.bursts.count() == 12
+
+
+def test_store_reads_only_the_ranges_of_a_batch(spark, tmp_path):
+    """Contents and paths are stored once, over batches and repeated batches; other ranges may be unreadable."""
+    target = str(tmp_path / "store")
+    write = Z.store_new(target, ranges=8)
+    ddl = "path string, sha256 string, length bigint"
+    write(spark.createDataFrame([(f"/a/{i}", f"h{i}", i) for i in range(40)], ddl), 0)
+    second = spark.createDataFrame([("/b/1", "h1", 1), ("/b/x", "new", 2), ("/b/a", "new", 2), ("/a/3", "other", 3)], ddl)
+    write(second, 1)
+    write(second, 1)
+    rows = {(r.path, r.sha256, r.batch) for r in Z.stored_files(spark, target).collect()}
+    assert rows == {(f"/a/{i}", f"h{i}", 0) for i in range(40)} | {("/b/a", "new", 1)}
+    one = spark.createDataFrame([("/c/1", "h1", 1)], ddl)
+    mine = one.select(F.pmod(F.xxhash64("sha256"), F.lit(8))).head()[0]
+    for f in (tmp_path / "store" / "sha256" / "batch=0").glob("range=*/*.parquet"):
+        if f.parent.name != f"range={mine}":
+            f.write_bytes(b"not a table")
+    write(one, 2)
+    assert Z.stored_files(spark, target).where("batch = 2").isEmpty()
+
+
+def test_progress_has_a_row_per_trigger(spark, tmp_path):
+    for i in range(3):
+        spark.range(10 * i, 10 * i + 10 + i).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    written, progress = Z.drain_with_progress(stream, "scan", str(tmp_path / "out"), str(tmp_path / "state"))
+    rows = progress.orderBy("batch_id").collect()
+    assert [r.batch_id for r in rows] == [0, 1, 2] and sorted(r.processed for r in rows) == [10, 11, 12]
+    assert written.count() == 33 and all(r.task == "scan" and r.duration_ms >= 0 for r in rows)
