@@ -192,6 +192,17 @@ def c18(spark, d):
     return links.withColumn("gap_s", F.round("gap_s", 6))
 
 
+@query(
+    "c18_window_pairs",
+    """SELECT a.media_id AS first, b.media_id AS second, round((epoch_us(b.ts) - epoch_us(a.ts)) / 1e6, 6) AS gap_s
+       FROM {timeline} a JOIN {timeline} b ON epoch_us(b.ts) - epoch_us(a.ts) BETWEEN 0 AND 300000000
+        AND (a.ts < b.ts OR a.media_id < b.media_id)""",
+)
+def c18_window(spark, d):
+    pairs = B.window_pairs(timeline(spark, d), window_s=300)
+    return pairs.withColumn("gap_s", F.round("gap_s", 6))
+
+
 def burst_input(spark: SparkSession, d: str) -> DataFrame:
     """Timeline events (dated) and documents (undated, hashed by their words) as one library."""
     shots = timeline(spark, d).select(

@@ -163,3 +163,16 @@ def test_exact_quantile_matches_numpy(spark):
     got = {r["g"]: r["q"] for r in exact_quantile(df, ["g"], "v", 0.75, "q", "id").collect()}
     for g, part in pdf.groupby("g"):
         assert got[g] == pytest.approx(np.quantile(part["v"], 0.75))
+
+
+def test_window_pairs_with_a_crowded_bucket(spark, monkeypatch):
+    """All pairs inside the window, a third of the files within one second, dealt into parts."""
+    monkeypatch.setattr(B, "WINDOW_BLOCK", 16)
+    r = np.random.default_rng(2)
+    t = np.concatenate([np.sort(r.integers(0, 200_000, 120)), 90_000 + r.integers(0, 1000, 60)]) * 1000
+    rows = [(i, START + dt.timedelta(microseconds=int(x))) for i, x in enumerate(t)] + [(900, None)]
+    df = spark.createDataFrame(rows, "media_id bigint, ts timestamp_ntz")
+    got = sorted((x.first, x.second) for x in B.window_pairs(df, 3).select("first", "second").collect())
+    order = sorted(range(len(t)), key=lambda i: (t[i], i))
+    want = [(a, b) for n, a in enumerate(order) for b in order[n + 1 :] if t[b] - t[a] <= 3_000_000]
+    assert got == sorted(want) and len(want) > 60 * 59 / 2
