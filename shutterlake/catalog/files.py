@@ -15,6 +15,7 @@ from shutterlake.plans.library_run import organize
 from shutterlake.session import scratch_path
 from shutterlake.sources import listing as L
 from shutterlake.sources import reports as O
+from shutterlake.sources import sessions as SE
 
 ALL = "list_value('.jpg','.jpeg','.png','.heic','.heif','.raw','.cr2','.nef','.tiff','.tif','.bmp','.gif','.webp','.jfif')"
 VID = (
@@ -195,6 +196,37 @@ def a17(spark, d):
     return O.read_report(spark, out, ddl)
 
 
+@query(
+    "a17_session_document",
+    """WITH c AS (SELECT p.original, p.duplicate,
+          CASE WHEN m.lang = 'en' THEN 'original' WHEN m.lang = 'de' THEN 'duplicate' END AS keep
+        FROM {pairs} p JOIN {media} m ON m.path = p.duplicate),
+       r AS (SELECT *, coalesce(keep <> 'duplicate', true) AS ko, coalesce(keep <> 'original', true) AS kd FROM c)
+       SELECT row_number() OVER (ORDER BY original, duplicate) - 1 AS place, original, duplicate,
+         ko AS "keepOriginal", kd AS "keepDuplicate", count(*) OVER () AS "totalSets",
+         count_if(NOT ko OR NOT kd) OVER () AS reviewed
+       FROM r""",
+)
+def a17_session(spark, d):
+    """The whole review as one document, read back with the place of each decision in its list."""
+    out = scratch(spark) + ".json"
+    columns = ("original", "duplicate", "keepOriginal", "keepDuplicate")
+    SE.write_session(R.pair_decisions(choices(spark, d)).select(*columns), out, "2024-05-01T00:00:00")
+    read = SE.read_session(
+        spark, out, "original: string, duplicate: string, keepOriginal: boolean, keepDuplicate: boolean"
+    )
+    rows = read.select("totalSets", F.col("reviewed").cast("bigint"), F.posexplode("decisions").alias("place", "x"))
+    return rows.select(F.col("place").cast("bigint").alias("place"), *[f"x.{c}" for c in columns], "totalSets", "reviewed")
+
+
+@query("a18_audit_log", "SELECT sha256, keep, duplicate FROM {plan}")
+def a18_log(spark, d):
+    """One line per pair, written in order by the audit sink and read back."""
+    out = scratch(spark) + ".log"
+    SE.write_audit(plan(spark, d).select("sha256", "keep", "duplicate"), out, "keep", "duplicate")
+    return spark.read.schema("sha256 STRING, keep STRING, duplicate STRING").json(out)
+
+
 def choices(spark: SparkSession, d: str) -> DataFrame:
     """Reviewer choices per pair, taken from the language of the duplicate."""
     m = media(spark, d).select(
