@@ -19,9 +19,11 @@ linkage on the reach, so it follows from a minimum spanning forest.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ from shutterlake.operators.graph import connected_components
 from shutterlake.operators.skew import sized_join, skew_join
 from shutterlake.session import materialize, release
 
+# Functions of this module travel with their tasks, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows kept as neighbours of each row.
 LISTED = 8
 #: Distances below this count as this, so that copies have a finite density.

@@ -14,10 +14,12 @@ blocks; a pair that shares several keys is met in each but returned by the first
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ from shutterlake.operators import kernels
 from shutterlake.operators import neighbors as N
 from shutterlake.session import materialize
 
+# Functions of this module travel with their tasks, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 RECALL = 0.95
 MAX_TABLES = 96
 SEED = 7

@@ -18,11 +18,13 @@ the cosine.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +35,9 @@ from shutterlake.operators import neighbors as N
 from shutterlake.operators.dedup import first_per_group
 from shutterlake.session import materialize
 
+# Functions of this module travel with their tasks, so executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Rows that a cell should hold, and cells at most: pivots are broadcast to place rows.
 CELL_ROWS = 4096
 MAX_CELLS = 4096
@@ -203,6 +208,7 @@ def _open(spark: SparkSession, path: str, visits: DataFrame, k: int, keep: Colum
     if N.fits_broadcast(visits):
         # Few queries: the index is scanned where it lies.
         at = visits.toArrow()
+        step = N.BLOCK_ROWS
         side = spark.sparkContext.broadcast({c: at.filter(pc.equal(at["cell"], c)) for c in wanted})
 
         def scan(batches):
@@ -210,8 +216,8 @@ def _open(spark: SparkSession, path: str, visits: DataFrame, k: int, keep: Colum
                 cells = batch.column("cell").to_numpy(zero_copy_only=False)
                 for c in np.unique(cells):
                     part = batch.filter(pa.array(cells == c))
-                    for a in range(0, part.num_rows, N.BLOCK_ROWS):
-                        yield from best(part.slice(a, N.BLOCK_ROWS), side.value[c]).to_batches()
+                    for a in range(0, part.num_rows, step):
+                        yield from best(part.slice(a, step), side.value[c]).to_batches()
 
         return rows.select("id", "vec", "cell").mapInArrow(scan, ddl)
     sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / N.BLOCK_ROWS).cast("bigint").alias("_rb"))
