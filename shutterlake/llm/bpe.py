@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm.chunks import NO_SPACE, WHITE, Chunks, packed, text_slices, vocabulary
+from shutterlake.llm.chunks import WHITE, Chunks, byte_letters, packed, space_free, text_slices, vocabulary
 from shutterlake.llm.text import table, whole
 from shutterlake.llm.worker import held
 
@@ -41,18 +41,6 @@ NEVER = 1 << 40
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+"
 
 
-def byte_letters() -> list[str]:
-    """The printable letter of each byte: itself where it is printable Latin-1, else the next from 256 on."""
-    out, more = [], 256
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
-            out.append(chr(b))
-        else:
-            out.append(chr(more))
-            more += 1
-    return out
-
-
 class Bpe:
     """Tables of one vocabulary file with lower-cased words and an end-of-word mark."""
 
@@ -200,7 +188,7 @@ def _tables(spec: bytes) -> tuple[Bpe, Chunks]:
     def make() -> tuple[Bpe, Chunks]:
         bpe = Bpe(spec)
         return bpe, Chunks(
-            NO_SPACE,
+            space_free,
             lambda new: [(packed(x), bpe.decode(x).encode()) for x in bpe.chunks(new)],
             lambda a, b: (a[0] + b[0], a[1] + b" " + b[1]),
         )

@@ -39,6 +39,24 @@ def test_chunks_give_the_ids_of_whole_texts(name, space):
     assert got == [packed(x) for x in ids]
 
 
+@pytest.mark.parametrize(("name", "space"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_latin_words_need_only_the_merges(name, space):
+    """Every letter of the direct way, in words with marks, line feeds and spaces around them."""
+    import public_tokenizers
+
+    r = random.Random(7)
+    letters = [chr(i) for i in range(0x250) if chunks.PLAIN.fullmatch(chr(i))]
+    texts = [f"{c} {c}a\n{c}b, x{c}\n {c}!" for c in letters]
+    for _ in range(3000):
+        words = ["".join(r.choices("etaoin shr" if r.random() < 0.7 else letters, k=r.randint(1, 12))) for _ in range(5)]
+        texts.append("".join(w + r.choice(["", ".", "'s,", "$$$", "<|", "|>", "1.", ")\""]) + r.choice(" \n") for w in words))
+    texts.append("x<|endoftext|> y<|endoftext|>, <|endoftext|>.")
+    _, ids = library_ids(name, texts)
+    with open(public_tokenizers.path(name), "rb") as f:
+        got = chunks.library_chunks(f.read(), space).ids(texts)
+    assert got == [packed(x) for x in ids]
+
+
 @pytest.fixture(scope="module")
 def words():
     import public_tokenizers
