@@ -1,8 +1,9 @@
 """Token ids of whole texts by a public tokenizer, each distinct chunk encoded once per task process.
 
-A chunk is a run of white space and the word after it. The tokenizers used here
-split text before their merges, and always between a character that is no white
-space and one that is, so the ids of a text are those of its chunks in order.
+A chunk is a run of white space and the word after it, or one line feed before a
+plain word. The tokenizers used here split text before their merges, and always
+between a character that is no white space and one that is, so the ids of a text
+are those of its chunks in order.
 The test suite compares the ids with those of whole texts.
 
 The vocabulary file is read on the driver and shipped to the executors, which
@@ -20,7 +21,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Callable, Iterable
-from functools import reduce
 
 import numpy as np
 import public_tokenizers
@@ -37,8 +37,6 @@ WHITE = (
     + "".join(map(chr, (0x1680, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
     + chr(0x2000) + "-" + chr(0x200A)
 )
-WITH_SPACE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-NO_SPACE = re.compile(f"[^{WHITE}]+")
 
 
 def vocabulary(spark: SparkSession, name_or_path: str):
@@ -51,9 +49,11 @@ def vocabulary(spark: SparkSession, name_or_path: str):
 #: Latin letters that are single, composed and lower-cased one by one (U+0130 becomes two).
 LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-" + chr(0x12F) + chr(0x131) + "-" + chr(0x24F)
 PLAIN = re.compile(f" ?[{LATIN}]+")
+WITH_SPACE = re.compile(f"\n(?= ?[{LATIN}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+NO_SPACE = re.compile(f"[^{WHITE}]+")
 #: ASCII's marks.
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-STEM_END = re.compile(f"[{LATIN}0-9]")
+STEM_ENDS = frozenset(filter(re.compile(f"[{LATIN}0-9]").match, map(chr, range(0x250))))
 
 
 def space_free(text: str) -> list[str]:
@@ -68,7 +68,7 @@ class Chunks:
 
     Known chunks are kept in two generations of about MEMO entries: a chunk used
     again moves to the younger, and when that is full the older is dropped. A new
-    chunk is first cut where no token crosses, so its parts may be known.
+    chunk is first cut before its closing marks, so its parts may be known.
     """
 
     def __init__(
@@ -81,23 +81,6 @@ class Chunks:
         self.young: dict[str, object] = {}
         self.old: dict[str, object] = {}
 
-    @staticmethod
-    def _cut(chunk: str) -> list[str] | None:
-        """A first line feed, what stands before closing ASCII marks, and these marks.
-
-        Marks after a letter or digit are words of their own to the vocabularies
-        here. Special strings begin with '<', so none is cut.
-        """
-        stem = chunk.rstrip(MARKS)
-        if not stem or "<" in stem or STEM_END.match(stem[-1]) is None:
-            return None
-        parts = [stem]
-        if stem[0] == "\n" and PLAIN.fullmatch(stem, 1):
-            parts = ["\n", stem[1:]]
-        if len(stem) < len(chunk):
-            parts.append(chunk[len(stem) :])
-        return parts if len(parts) > 1 else None
-
     def _missing(self, chunks: set[str], young: dict, old: dict) -> list[str]:
         """Those that are not in the younger table, nor can be moved there."""
         chunks = chunks.difference(young)
@@ -120,16 +103,23 @@ class Chunks:
         if len(self.young) > MEMO:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
-        new = self._missing(set().union(*found), young, old)
-        cut = {c: parts for c in new if (c[-1] in MARKS or c[0] == "\n") and (parts := self._cut(c))}
-        parts = [c for c in new if c not in cut]
-        parts += self._missing(set().union(*cut.values()), young, old)
-        plain = list(dict.fromkeys(parts))
-        for a in range(0, len(plain), 20_000):
-            part = plain[a : a + 20_000]
+        # Marks after a letter or digit are words of their own to the vocabularies here.
+        # Special strings begin with '<', so none is cut. Flat lists, as many small
+        # objects would keep the garbage collector busy.
+        wholes, stems, tails, new = [], [], [], []
+        for c in self._missing(set().union(*found), young, old):
+            if c[-1] in MARKS and (stem := c.rstrip(MARKS)) and stem[-1] in STEM_ENDS and "<" not in stem:
+                wholes.append(c)
+                stems.append(stem)
+                tails.append(c[len(stem) :])
+            else:
+                new.append(c)
+        new = list(dict.fromkeys(new + self._missing({*stems, *tails}, young, old)))
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
             young.update(zip(part, self.encode(part)))
-        for c, xs in cut.items():
-            young[c] = reduce(self.joined, [young[x] for x in xs])
+        get = young.__getitem__
+        young.update(zip(wholes, map(self.joined, map(get, stems), map(get, tails))))
 
     def ids(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
