@@ -18,7 +18,8 @@ never gathered.
 
 Defined results: a null text is empty and has no marks; rows with the same id are
 ordered by the hash of their text; a null id comes last; in a table of one row
-the row is its own next.
+the row is its own next; a text of any length is marked in pieces, with the same
+marks.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.llm.chunks import text_slices
 from shutterlake.llm.shingles import mix
 from shutterlake.llm.text import table, whole
 from shutterlake.operators.ordering import SLICE
@@ -43,6 +45,9 @@ BASE = 0x9E3779B97F4A7C15
 SLICE_DOCS = 1024
 SLICES = 100_000
 
+#: Code points that one call marks, some 100 bytes of memory each; a longer text is marked in pieces.
+PIECE = 500_000
+
 
 def marks(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hashes, positions) of each text, in order of position, found for all texts at once."""
@@ -97,6 +102,27 @@ def marks(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def long_marks(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The marks of one text, a piece of its windows after the other."""
+    hashes, places, last = [], [], -1
+    for a in range(0, max(1, len(text) - (K + W - 2)), PIECE):
+        h, p = marks([text[a : a + PIECE + K + W - 2]])[0]
+        p = p + a
+        new = p != last  # the first window of a piece may keep what the last one before kept
+        hashes.append(h[new])
+        places.append(p[new])
+        last = p[-1] if len(p) else last
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+def all_marks(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The marks of many texts, in bounded memory whatever their lengths."""
+    out = []
+    for a, b in text_slices(texts, PIECE):
+        out += marks(texts[a:b]) if b > a + 1 or len(texts[a]) <= PIECE else [long_marks(texts[a])]
+    return out
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two hash sets."""
     x, y = set(a.tolist()), set(b.tolist())
@@ -106,7 +132,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 def _mark_rows(batches):
     for batch in batches:
-        found = marks(batch.column("text").to_pylist())
+        found = all_marks(batch.column("text").to_pylist())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("row"),
@@ -137,11 +163,10 @@ def _place(heads: list[tuple[int, int]]):
             doc = batch.column("doc").to_numpy()
             th = batch.column("th").to_numpy()
             at = np.maximum(np.searchsorted(ids, doc, "right") - 1, 0)
-            while True:
-                back = (at > 0) & (ids[at] == doc) & (ties[at] > th)
-                if not back.any():
-                    break
-                at = at - back
+            # Rows of an id that begins several slices: the last head of that id not beyond the row's hash.
+            for i in np.flatnonzero((ids[at] == doc) & (ties[at] > th)).tolist():
+                first = int(np.searchsorted(ids, doc[i], "left"))
+                at[i] = max(first + int(np.searchsorted(ties[first : at[i] + 1], th[i], "right")) - 1, 0)
             head = np.flatnonzero((ids[at] == doc) & (ties[at] == th))
             take = np.concatenate([np.arange(len(doc)), head])
             where = np.concatenate([at, (at[head] - 1) % len(ids)])
@@ -159,9 +184,9 @@ def _compare(batches):
     waiting = None  # (slice, doc_id, text, hashes) of the row that still needs its next
     for batch in batches:
         t = batch.select(["slice", "extra", "doc_id", "text"]).to_pydict()
-        for a in range(0, len(t["text"]), 256):
-            texts = t["text"][a : a + 256]
-            own = [h for h, _ in marks(texts)]
+        for a, b in text_slices(t["text"], PIECE):
+            texts = t["text"][a:b]
+            own = [h for h, _ in all_marks(texts)]
             ready = []
             for s, extra, d, text, h in zip(t["slice"][a:], t["extra"][a:], t["doc_id"][a:], texts, own):
                 if waiting is not None and waiting[0] == s:
@@ -171,7 +196,7 @@ def _compare(batches):
             for _, text, _, after, _ in ready:
                 q = len(text) // 4
                 edited.append(text[: len(text) - q] + after[:q])
-            other = [h for h, _ in marks(edited)]
+            other = [h for h, _ in all_marks(edited)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in ready], pa.int64()),

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -126,6 +127,27 @@ def test_winnowing_by_hand(text):
     assert (h.tolist(), p.tolist()) == plain_marks(text)
 
 
+def test_marks_of_long_texts_in_pieces(monkeypatch):
+    r = random.Random(3)
+    texts = ["".join(r.choices("ab \n", k=n)) for n in (0, 3, 15, 16, 46, 47, 48, 99, 147, 1000, 5000)] + ["a" * 900, "ab" * 700]
+    want = [fingerprints.marks([t])[0] for t in texts]
+    monkeypatch.setattr(fingerprints, "PIECE", 100)
+    for (h, p), (x, y) in zip(fingerprints.all_marks(texts), want, strict=True):
+        assert h.tolist() == x.tolist() and p.tolist() == y.tolist()
+
+
+def test_heads_of_one_id(monkeypatch):
+    """Slices that begin with the same id: a row goes to the last one whose head it doesn't precede."""
+    heads = [(1, 5), (1, 9), (2, -3), (2, 0), (2, 7), (4, 1)]
+    rows = [(0, 3), (1, 5), (1, 8), (1, 9), (1, 11), (2, -9), (2, -3), (2, 6), (2, 7), (3, 0), (4, 0), (4, 1), (9, 9)]
+    batch = pa.RecordBatch.from_pydict(
+        {"doc": pa.array([d for d, _ in rows], pa.int64()), "th": pa.array([t for _, t in rows], pa.int64())}
+    )
+    got = next(iter(fingerprints._place(heads)([batch]))).to_pydict()
+    placed = [s for s, extra in zip(got["slice"], got["extra"]) if not extra]
+    assert placed == [max([i for i, h in enumerate(heads) if h <= row], default=0) for row in rows]
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.choose_bands(0.8, 0.9999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.9999
