@@ -198,8 +198,14 @@ def judge(counted: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with the columns they came with."""
-    cutoffs = fit_cutoffs(with_counts(docs), labels)
+    """The documents that the rules keep, with the columns they came with.
+
+    Counts are what costs here, so the cutoffs are fitted on the labelled
+    documents alone: no other counts for them.
+    """
+    ids = labels.select(labels["doc_id"].alias("_label")).distinct()
+    labelled = docs.join(ids, docs["doc_id"] == ids["_label"], "left_semi").select("doc_id", "text", "lang")
+    cutoffs = fit_cutoffs(with_counts(labelled), labels)
     kept = judge(with_counts(docs), cutoffs).where("kept")
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
