@@ -1,6 +1,9 @@
 """Tables of many files, and work that grows no faster than its input."""
 
+import numpy as np
+
 from shutterlake.catalog import registry
+from shutterlake.operators import neighbors as N
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +25,26 @@ def test_streams_read_tables_in_folders(spark, tmp_path):
     for name in ("k4_assign_stream", "k2_session_stream"):
         whole = _rows(queries[name](spark, SF))
         assert whole and _rows(queries[name](spark, d)) == whole
+
+
+def _vectors(spark, n, dim=8, seed=3):
+    m = np.random.default_rng(seed).normal(size=(n, dim))
+    return m, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
+
+
+def test_cells_move_rows_by_tile_not_by_block(spark):
+    """Links of a graph in which all hangs together: one set per tile pair, however small the blocks."""
+    m, rows = _vectors(spark, 1500)
+    links = N.component_edges(rows, 1.2, broadcast_bytes=0, block_rows=16).collect()
+    assert len(links) < 20 * len(m)  # 140 a row when each two blocks of 16 met in a task of their own
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    near = 1 - unit @ unit.T <= 0.1
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b}
+    got = [(r.src, r.dst) for r in N.similar_pairs(rows, 0.1, broadcast_bytes=0, block_rows=16).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_small_cells_share_tiles_and_large_ones_are_cut():
+    first, parts, held = N._tiles({0: 3, 1: 4, 2: 30, 3: 5, 4: 6}, 5, 10)
+    assert [h.tolist() for h in held] == [[0, 1], [2], [2], [2], [3], [4]]
+    assert first.tolist() == [0, 0, 1, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1]
