@@ -48,3 +48,8 @@ def test_small_cells_share_tiles_and_large_ones_are_cut():
     first, parts, held = N._tiles({0: 3, 1: 4, 2: 30, 3: 5, 4: 6}, 5, 10)
     assert [h.tolist() for h in held] == [[0, 1], [2], [2], [2], [3], [4]]
     assert first.tolist() == [0, 0, 1, 4, 5] and parts.tolist() == [1, 1, 3, 1, 1]
+
+
+def test_broadcast_side_stays_small():
+    """The driver and every Python worker hold a broadcast side whole."""
+    assert N.BROADCAST_BYTES <= 4 * 1024 * 1024 and N.kernels.CHUNK <= 2_000_000
