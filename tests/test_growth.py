@@ -53,3 +53,11 @@ def test_small_cells_share_tiles_and_large_ones_are_cut():
 def test_broadcast_side_stays_small():
     """The driver and every Python worker hold a broadcast side whole."""
     assert N.BROADCAST_BYTES <= 4 * 1024 * 1024 and N.kernels.CHUNK <= 2_000_000
+
+
+def test_signature_aggregates_by_document_alone(spark):
+    """No shuffle by (document, bucket), after which every task held 64 columns of nearly every document."""
+    from shutterlake.catalog.core import signature
+
+    plan = signature(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
