@@ -61,3 +61,23 @@ def test_signature_aggregates_by_document_alone(spark):
 
     plan = signature(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_bursts_in_slices_of_bounded_rows(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from shutterlake.operators import bursts as B
+
+    # A run without a pause, so that every slice starts with open leaders.
+    rows = spark.range(300).select(
+        F.col("id").alias("media_id"), F.timestamp_seconds(F.col("id")).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 5 > 0, F.struct((F.col("id") % 5).cast("double").alias("lat"), F.lit(0.0).alias("lon"))).alias("gps"),
+        F.col("id").alias("phash"),
+    )
+    whole = _rows(B.group_similar(rows, window_s=7))
+    monkeypatch.setattr(B, "SLICE_ROWS", 40)
+    cut, made = B.sorted_slices, []
+    monkeypatch.setattr(B, "sorted_slices", lambda *a: made.append(cut(*a)) or made[-1])
+    assert _rows(B.group_similar(rows, window_s=7)) == whole and len(whole) > 100
+    sizes = [r["count"] for r in made[0].groupBy(B.SLICE).count().collect()]
+    assert len(sizes) > 4 and max(sizes) <= 80
