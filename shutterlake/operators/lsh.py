@@ -18,7 +18,6 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,8 +72,13 @@ def hash_keys(m: np.ndarray, bits: int, tables: int, seed: int = SEED) -> np.nda
     return keys * np.int64(tables) + np.arange(tables)
 
 
+def _code_type(bits: int) -> str:
+    """Smallest type of the bits of a key, as codes travel with every copy of a row."""
+    return next(t for t, width in (("u1", 8), ("u2", 16), ("u4", 32), ("u8", 64)) if bits <= width)
+
+
 def _keyed(rows: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    ddl = "id bigint, vec array<double>, keys array<bigint>"
+    ddl = "id bigint, vec array<double>, keys array<bigint>, codes binary"
     schema = N._arrow_schema(ddl)
 
     def scan(batches):
@@ -85,7 +89,8 @@ def _keyed(rows: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.arange(len(keys) + 1, dtype=np.int32) * tables), pa.array(keys.ravel())
                 )
-                cols = [part.column("id"), part.column("vec"), lists]
+                codes = (keys // tables).astype(_code_type(bits))
+                cols = [part.column("id"), part.column("vec"), lists, pa.array([c.tobytes() for c in codes], pa.binary())]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return rows.select("id", "vec").mapInArrow(scan, ddl)
@@ -111,6 +116,9 @@ def approximate_pairs(
     else:
         tables = tables_for(bits, max_distance, recall)
     keyed = materialize(_keyed(rows, bits, tables, seed))
+    # A row is sent once to each block of its bucket, so blocks are as large as a tile; a task compares them in pieces.
+    block_rows = max(block_rows, min(math.ceil(rows.count() / N.TILES), N.TILE_BYTES // (8 * max(1, N._width(rows)))))
+    code = _code_type(bits)
     in_table = keyed.select("id", F.explode("keys").alias("key"))
     sizes = in_table.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sizes = materialize(sizes.select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("nb")))
@@ -123,7 +131,7 @@ def approximate_pairs(
             "id", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
             (F.col("own") > F.col("other")).cast("int").alias("side"),
         )
-        .join(keyed, "id")
+        .join(keyed.drop("keys"), "id")
     )
     ddl = "src bigint, dst bigint, distance double"
     schema = N._arrow_schema(ddl)
@@ -134,7 +142,8 @@ def approximate_pairs(
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1) if crossed else left
         m = kernels.matrix(t.column("vec"), True)
-        keys = pc.list_flatten(t.column("keys")).to_numpy().reshape(len(ids), -1)
+        codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), code).reshape(len(ids), -1)
+        table = t.column("key")[0].as_py() % tables
         found = {"src": [], "dst": [], "distance": []}
         step = max(1, kernels.CHUNK // max(1, len(right)))
         for at in range(0, len(left), step):
@@ -145,8 +154,8 @@ def approximate_pairs(
             a, b = np.nonzero(hit)
             x, y, far = l[a], right[b], d[a, b]
             # A pair belongs to the first key that it shares.
-            equal = keys[x] == keys[y]
-            first = keys[x, equal.argmax(1)] == t.column("key")[0].as_py() if len(x) else np.zeros(0, bool)
+            equal = codes[x] == codes[y]
+            first = equal.argmax(1) == table if len(x) else np.zeros(0, bool)
             found["src"].append(np.minimum(ids[x], ids[y])[first])
             found["dst"].append(np.maximum(ids[x], ids[y])[first])
             found["distance"].append(far[first])

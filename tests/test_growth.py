@@ -81,3 +81,12 @@ def test_bursts_in_slices_of_bounded_rows(spark, monkeypatch):
     assert _rows(B.group_similar(rows, window_s=7)) == whole and len(whole) > 100
     sizes = [r["count"] for r in made[0].groupBy(B.SLICE).count().collect()]
     assert len(sizes) > 4 and max(sizes) <= 80
+
+
+def test_approximate_join_sends_short_codes(spark):
+    """Copies of a row carry a byte a table, not eight."""
+    from shutterlake.operators import lsh as LSH
+
+    _, rows = _vectors(spark, 40)
+    sent = LSH._keyed(rows, 6, 10, LSH.SEED).select("keys", "codes").collect()
+    assert all(len(r.codes) == 10 and list(r.codes) == [k // 10 for k in r["keys"]] for r in sent)
