@@ -251,6 +251,36 @@ def test_file_stream_keeps_one_per_content(spark, tree, tmp_path):
     assert stored.count() == 4 == stored.select("sha256").distinct().count()
 
 
+def test_rows_written_as_files_of_one_flat_folder(spark, tmp_path, monkeypatch):
+    """A file per row without a folder per row, whose number leads back to the row."""
+    monkeypatch.setattr(Z, "TASK_FILES", 3)
+    rows = spark.createDataFrame([(i, f"text {i % 7}\n") for i in range(20)], "doc_id bigint, text string")
+    target = tmp_path / "in"
+    placed = Z.write_files(rows, "text", str(target), ["doc_id"])
+    found = [p for p in target.rglob("*") if p.suffix != ".crc" and p.name != "_SUCCESS"]
+    assert len(found) == 20 and all(p.parent == target and p.is_file() for p in found)
+    names = spark.createDataFrame([(str(p), p.read_text()) for p in found], "path string, content string")
+    both = placed.join(names.withColumn("file", Z.file_number(F.col("path"))), "file").collect()
+    assert sorted(r.doc_id for r in both) == list(range(20))
+    assert all(r.content == r.text + "\n" for r in both)
+
+
+def test_ingest_stream_with_an_id_twice(spark, tmp_path):
+    """Two texts under one id are two files."""
+    import duckdb
+
+    from oracle import difference
+    from shutterlake.catalog import registry
+
+    queries, sql = registry()
+    rows = [(i, f"text {i % 4}") for i in range(6)] + [(2, "another"), (5, "text 1")]
+    where = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(where)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{where}/*.parquet'")
+    assert difference(queries["k1_ingest_stream"](spark, str(tmp_path)), con, sql["k1_ingest_stream"]) is None
+
+
 def test_library_run(spark):
     t = dt.datetime(2024, 5, 1)
     rows = [
