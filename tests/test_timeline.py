@@ -165,6 +165,17 @@ def test_exact_quantile_matches_numpy(spark):
         assert got[g] == pytest.approx(np.quantile(part["v"], 0.75))
 
 
+def test_window_pairs_leave_in_order_of_time(spark):
+    """Rows of one first file stand together, their partners by time, however the rows came."""
+    start = dt.datetime(2024, 5, 1)
+    rows = [(i, start + dt.timedelta(milliseconds=(i * 37) % 100 * 20)) for i in range(100)]
+    df = spark.createDataFrame(rows, "media_id bigint, ts timestamp_ntz").repartition(5)
+    got = [(r.first, r.gap_s) for r in B.window_pairs(df, 3).coalesce(1).collect()]
+    firsts = [f for i, (f, _) in enumerate(got) if i == 0 or got[i - 1][0] != f]
+    assert len(got) == 4950 and len(firsts) == len(set(firsts)) == 99
+    assert all(a[1] <= b[1] for a, b in zip(got, got[1:]) if a[0] == b[0])
+
+
 def test_window_pairs_with_a_crowded_bucket(spark, monkeypatch):
     """All pairs inside the window, a third of the files within one second, dealt into parts."""
     monkeypatch.setattr(B, "WINDOW_BLOCK", 16)
