@@ -59,3 +59,20 @@ def test_a_long_chain_ends_in_few_rounds(spark):
     means = np.array([unit(m)[rep == c].mean(0) for c in np.unique(rep)])
     assert (1 - (means[:-1] * means[1:]).sum(1) > 1e-6 - 1e-12).all()
     assert sum(r["searched"] for r in rounds[1:]) < n * (len(rounds) - 1) and size.sum() == n
+
+
+def test_rounds_join_without_broadcasts(spark, monkeypatch):
+    """Tables as long as the clusters are shuffled; only the sizes of cells, a row for a region, are broadcast."""
+    plans, write = [], L.materialize
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(L, "materialize", noted)
+    m = unit(np.random.default_rng(8).normal(size=(60, 6)))
+    rows = [(i, list(map(float, v)), 1) for i, v in enumerate(m)]
+    merges, rounds = L.agglomerate(spark.createDataFrame(rows, "id bigint, total array<double>, size bigint"), "ward", task_rows=16)
+    assert merges.count() == 59 and len(rounds) > 1
+    assert sum(p.count("SortMergeJoin") for p in plans) > len(rounds)
+    assert sum(p.count("BroadcastHashJoin") for p in plans) <= len(rounds)
