@@ -101,6 +101,31 @@ def test_late_batches_join_their_event(spark, tmp_path):
     assert rows == [(at(12), at(14, 30), 4)]
 
 
+def test_event_stream_of_many_owners_in_few_states(spark, tmp_path, monkeypatch):
+    """Owners share states, one row may fill an element, and rows without an owner are one owner; each keeps its own events."""
+    monkeypatch.setattr(Z, "WAITING_ROWS", 2)
+    schema = "owner bigint, ts timestamp, lat double, lon double"
+    source = str(tmp_path / "in")
+    spark.createDataFrame([], schema).write.parquet(source)
+    stream = Z.event_stream(
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "owner", delay="1 hour", ranges=2
+    )
+    owners = [*range(-3, 9), None]
+    batches = [
+        [(o, at(1 + i % 3), 40.0, -74.0) for i, o in enumerate(owners)] + [(o, at(1 + i % 3, 30), None, -74.0) for i, o in enumerate(owners)],
+        [(o, at(4 + i % 3), 41.0 if i % 2 else 40.0, -74.0) for i, o in enumerate(owners)],
+        [(o, at(4 + i % 3, 10), 40.0, -74.0) for i, o in enumerate(owners) if i % 2 == 0],
+        [(99, at(23), None, None)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    got = sorted(((r.owner if r.owner is not None else -99), r.event_id, r.first_ts, r.num_photos) for r in Z.drain(stream, str(tmp_path / "out"), str(tmp_path / "state")).collect())
+    want = []
+    for i, o in enumerate(owners):
+        want += [(-99 if o is None else o, 0, at(1 + i % 3), 2), (-99 if o is None else o, 1, at(4 + i % 3), 1 if i % 2 else 2)]
+    assert got == sorted(want)
+
+
 def test_event_stream_over_many_triggers(spark, tmp_path):
     """Fifteen triggers of shuffled rows: the events of the batch operator, save what the watermark has not closed."""
     import datetime as dt
