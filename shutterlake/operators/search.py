@@ -37,6 +37,8 @@ def search(
     wanted = k * overfetch if overfetch else k
     hits = _scan_index(rows.select("id", "vec"), queries.select("id", "vec"), wanted, **route)
     if keep is not None and overfetch:
+        # A scan keeps so many of every batch; only the best of all of them are tested.
+        hits = first_per_group(hits, ["id"], [F.col("distance").asc(), F.col("nid").asc()], wanted)
         hits = hits.join(index.where(keep).select(F.col("id").alias("nid")), "nid", "left_semi")
     out = hits.select(
         F.col("id").alias("query_id"),

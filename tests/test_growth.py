@@ -1,9 +1,11 @@
 """Tables of many files, and work that grows no faster than its input."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from shutterlake.catalog import registry
 from shutterlake.operators import neighbors as N
+from shutterlake.operators import search as Q
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,6 +29,18 @@ def test_streams_read_tables_in_folders(spark, tmp_path):
         assert whole and _rows(queries[name](spark, d)) == whole
 
 
+def test_overfetched_rows_are_ranked_over_all_batches(spark):
+    """Each task scans its part of the index and keeps its own best; the filter sees the best of all parts."""
+    m, rows = _vectors(spark, 400)
+    wanted = rows.where("id < 3")
+    index = rows.repartition(6)
+    got = [(r.query_id, r.id) for r in Q.search(index, wanted, 5, keep=F.col("id") % 4 == 0, overfetch=3).collect()]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    best = np.argsort(-unit[:3] @ unit.T, axis=1)[:, :15]
+    want = [(q, int(i)) for q in range(3) for i in [i for i in best[q] if i % 4 == 0][:5]]
+    assert len(got) < 15 and sorted(got) == sorted(want)
+
+
 def _vectors(spark, n, dim=8, seed=3):
     m = np.random.default_rng(seed).normal(size=(n, dim))
     return m, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id bigint, vec array<double>")
