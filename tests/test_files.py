@@ -265,6 +265,31 @@ def test_rows_written_as_files_of_one_flat_folder(spark, tmp_path, monkeypatch):
     assert all(r.content == r.text + "\n" for r in both)
 
 
+@pytest.mark.parametrize("reached", [True, False])
+def test_small_files_are_written_by_their_tasks(spark, tmp_path, monkeypatch, reached):
+    """On a mounted folder Hadoop's own files (a checksum each, two processes to set modes) are left out; both ways agree."""
+    monkeypatch.setattr(Z, "TASK_FILES", 4)
+    if not reached:
+        monkeypatch.setattr(Z, "mounted", lambda spark, path: None)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["", "é\n", None, "a b", " "] * 3)], "id bigint, text string")
+    target = tmp_path / "in"
+    placed = Z.write_files(rows, "text", f"file:{target}", ["id"])
+    assert any(p.suffix == ".crc" for p in target.iterdir()) is not reached
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(str(target))
+    content = files.select(Z.file_number(F.col("path")).alias("file"), F.decode("content", "UTF-8").alias("got"))
+    both = placed.join(content, "file").collect()
+    assert len(both) == 15 and all(r.got == (r.text or "") + "\n" for r in both)
+
+
+def test_stream_of_small_files_is_listed_in_few_tasks(spark):
+    """The source lists a batch path by path, in 10,000 tasks if nothing is said."""
+    names = ("spark.sql.sources.parallelPartitionDiscovery.parallelism", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    with Z.small_files(spark):
+        assert int(spark.conf.get(names[0])) <= 4 * spark.sparkContext.defaultParallelism
+    assert [spark.conf.get(n) for n in names] == before
+
+
 def test_ingest_stream_with_an_id_twice(spark, tmp_path):
     """Two texts under one id are two files."""
     import duckdb
