@@ -76,3 +76,31 @@ def test_rounds_join_without_broadcasts(spark, monkeypatch):
     assert merges.count() == 59 and len(rounds) > 1
     assert sum(p.count("SortMergeJoin") for p in plans) > len(rounds)
     assert sum(p.count("BroadcastHashJoin") for p in plans) <= len(rounds)
+
+
+@pytest.mark.parametrize(("linkage", "cut"), [("ward", None), ("average", 0.7)])
+def test_few_clusters_are_searched_again(spark, linkage, cut):
+    """Merged clusters keep the partners of their parts; nearly all were searched again in each round when they didn't."""
+    m = unit(np.random.default_rng(5).normal(size=(300, 16)))
+    rows = [(i, list(map(float, v)), 1) for i, v in enumerate(m)]
+    df = spark.createDataFrame(rows, "id bigint, total array<double>, size bigint")
+    merges, rounds = L.agglomerate(df, linkage, cut, task_rows=100)
+    again = [r for r in rounds[1:] if r["searched"]]
+    assert again and sum(r["searched"] for r in again) < 0.5 * sum(r["clusters"] for r in again)
+    got = sorted(r.height for r in merges.collect())
+    whole = sorted(x for _, _, x in L.kernels.agglomerate_all(m, np.ones(300), linkage, np.inf if cut is None else cut))
+    assert got == pytest.approx(whole)
+
+
+@pytest.mark.parametrize("linkage", ["ward", "average"])
+def test_merges_without_a_matrix(linkage):
+    """The same merges as with one, many equal distances included, and one that rounding sees differently from each side."""
+    rng = np.random.default_rng(6)
+    m = np.r_[unit(rng.normal(size=(120, 5))), unit(rng.integers(1, 3, size=(40, 5)).astype(float))]
+    size = rng.integers(1, 4, len(m))
+    same = {"size": size}
+    costs = L.kernels.ward_costs(same, m, same, m) if linkage == "ward" else L.kernels.distances(m, m, "cosine")
+    want = L.kernels.agglomerate(costs, size, np.full(len(m), np.inf), linkage, 0.4)
+    got = L.kernels.agglomerate_all(m, size, linkage, 0.4)
+    assert sorted(x for _, _, x in got) == pytest.approx(sorted(x for _, _, x in want), abs=1e-9)
+    assert len({a for a, _, _ in got}) == len(got) and all(a > b for a, b, _ in got)
