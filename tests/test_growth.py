@@ -97,6 +97,39 @@ def test_bursts_in_slices_of_bounded_rows(spark, monkeypatch):
     assert len(sizes) > 4 and max(sizes) <= 80
 
 
+def test_slices_of_a_timeline_without_pauses_are_bounded(spark, monkeypatch):
+    """A change may pass through all slices, one a round; their rows come as a stream, with the open leaders alone beside."""
+    from shutterlake.operators import bursts as B
+
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.integers(0, 4_000_000_000, 4000))
+    place = [None if i % 5 else (40.0 + i % 3, 1.0) for i in range(4000)]
+    rows = [(i, int(x), *(p or (None, None))) for i, (x, p) in enumerate(zip(t, place))]
+    dated = spark.createDataFrame(rows, "key bigint, t bigint, lat double, lon double")
+    whole = _rows(B._dated_leaders(dated, 30_000_000, 0.1))
+    cut, made = B.sorted_slices, []
+    monkeypatch.setattr(B, "sorted_slices", lambda *a: made.append(cut(*a)) or made[-1])
+    monkeypatch.setattr(B, "SLICE_ROWS", 20)
+    monkeypatch.setattr(B, "SLICES", 6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        assert _rows(B._dated_leaders(dated, 30_000_000, 0.1)) == whole and len(whole) > 3900
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert 4 < made[0].select(B.SLICE).distinct().count() <= 6
+    # The rule, row by row.
+    open_, want = [], []
+    for i, x, lat, lon in rows:
+        open_ = [o for o in open_ if x - o[1] <= 30_000_000]
+        found = next((o for o in open_ if lat is None or o[2] is None or o[2] == lat), None)
+        if found is None:
+            found = (i, x, lat)
+            open_.append(found)
+        want.append((i, found[0]))
+    near = B._dated_leaders(dated, 30_000_000, 0.1).select("key", "leader").collect()
+    assert all(dict(want)[r.key] == r.leader for r in near)
+
+
 def test_approximate_join_sends_short_codes(spark):
     """Copies of a row carry a byte a table, not eight."""
     from shutterlake.operators import lsh as LSH
